@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, documents, id_text
+from .common import SPACE, SPACES, documents, id_text, stage
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -121,9 +121,10 @@ def filter_documents(docs: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """Rows of docs that the policy keeps, all columns as they were.
 
     A repeated doc_id is judged by the row itself if all its rows agree, else kept when any of them is kept.  Rows without
-    a doc_id go: nothing later could name them.
+    a doc_id go: nothing later could name them.  The ledger is written first; a filter pushed into its expressions would
+    evaluate them again and again.
     """
-    kept = apply_policy(ledger(docs), policy).filter("kept").select("doc_id").distinct()
+    kept = apply_policy(stage(ledger(docs), "quality-ledger"), policy).filter("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")
 
 
