@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import duplicates, entities, pages, records, retrieval, texts  # noqa: F401  importing registers their queries
+from .base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = QUERIES["r11_search"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
