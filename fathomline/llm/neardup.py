@@ -38,6 +38,7 @@ DISTANCE = 2 * CHUNKS - 1
 BITS = 16
 #: Shingles of a block of members that one task holds (8 bytes each, twice).
 BLOCK_SHINGLES = 2_000_000
+BLOCK_MEMBERS = 20_000
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
 
 
@@ -75,7 +76,8 @@ def _sets(batches):
 
 
 def bucket_keys(signatures: np.ndarray) -> np.ndarray:
-    """rows x (CHUNKS * WIDTH): a key for each chunk and each symbol of it that is left out."""
+    """rows x (CHUNKS * WIDTH): a key for each chunk and each symbol of it that is left out.  Its place, chunk * WIDTH +
+    symbol, is the key's last seven bits."""
     out = np.empty((len(signatures), K), dtype=np.uint64)
     wide = signatures.astype(np.uint64)
     for c in range(CHUNKS):
@@ -84,7 +86,7 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
             for i in range(WIDTH):
                 if i != gap:
                     key = kernels.mix(key * np.uint64(31) + wide[:, c * WIDTH + i])
-            out[:, c * WIDTH + gap] = key
+            out[:, c * WIDTH + gap] = (key << np.uint64(7)) | np.uint64(c * WIDTH + gap)
     return out
 
 
@@ -120,16 +122,80 @@ def _confirm(batches):
         yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
 
-def _first_bucket(x: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """The first key, in the order of bucket_keys, that x shares with each y; K if none."""
-    differ = (ys != x).reshape(len(ys), CHUNKS, WIDTH)
+def _first_bucket(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The place of the first key that row i of x (or x, if it is one row) shares with row i of y; K if none."""
+    differ = (y != x).reshape(len(y), CHUNKS, WIDTH)
     errors = differ.sum(axis=2)
     chunk = (errors <= 1).argmax(axis=1)
-    rows = np.arange(len(ys))
+    rows = np.arange(len(y))
     gap = np.where(errors[rows, chunk] == 0, 0, differ[rows, chunk].argmax(axis=1))
     return np.where(errors[rows, chunk] <= 1, chunk * WIDTH + gap, K)
 
 
+#: Groups up to this size are compared for many groups at once.
+SMALL = 16
+_GROUP = ["key", "block_a", "block_b"]
+
+
+def _whole_groups(batches):
+    """Tables that hold whole groups, from batches in which a group's rows follow each other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = [batch.column(c)[len(batch) - 1].as_py() for c in _GROUP]
+        same = np.ones(len(batch), dtype=bool)
+        for c, v in zip(_GROUP, last, strict=True):
+            same &= batch.column(c).to_numpy() == v
+        cut = len(batch) - int(same[::-1].argmin() if not same.all() else len(batch))
+        before = bool(held) and [held[-1].column(c)[len(held[-1]) - 1].as_py() for c in _GROUP] != last
+        if cut or before:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _alive(batches):
+    """The rows that have a near one of another component in their group, in the first bucket that both share."""
+    for table in _whole_groups(batches):
+        key, left, right, label, block = (table.column(c).to_numpy() for c in [*_GROUP, "label", "block"])
+        signs = _matrix(table.column("signature").combine_chunks())
+        n = len(key)
+        new = np.ones(n, dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        group = np.cumsum(new) - 1
+        size = np.bincount(group)
+        alive = np.zeros(n, dtype=bool)
+        meets = lambda i, j: (label[i] != label[j]) & ((left[i] == right[i]) | (block[i] != block[j]))  # noqa: B023, E731
+        place = key & 127
+
+        def near(i, j):
+            some = np.flatnonzero((signs[i] != signs[j]).sum(axis=1) <= DISTANCE)  # noqa: B023
+            i, j = i[some], j[some]
+            return (i, j) if not len(i) else tuple(v[_first_bucket(signs[i], signs[j]) == place[i]] for v in (i, j))  # noqa: B023
+
+        for step in range(1, min(SMALL, size.max() if n else 0)):
+            i = np.flatnonzero((group[:-step] == group[step:]) & (size[group[:-step]] <= SMALL))
+            i = i[meets(i, i + step)]
+            for part in np.array_split(i, len(i) // 100_000 + 1):
+                for v in near(part, part + step):
+                    alive[v] = True
+        for g in np.flatnonzero(size > SMALL):
+            first = int(np.searchsorted(group, g))
+            rows = np.arange(first, first + size[g])
+            values, times = np.unique(label[rows], return_counts=True)
+            large = values[times.argmax()]
+            for i in rows[label[rows] != large]:
+                others = rows[meets(np.full(len(rows), i), rows)]
+                for v in near(np.full(len(others), i), others):
+                    alive[v] = True
+        if alive.any():
+            yield from table.filter(pa.array(alive)).select([*_GROUP, "id", "label", "block"]).to_batches()
+
+
 def _join_bucket(table: pa.Table) -> pa.Table:
     """Links that join components within one bucket, or between two blocks of one.  Each pair is compared in the first
     bucket it shares, and only while its ends are in different components."""
@@ -149,8 +215,7 @@ def _join_bucket(table: pa.Table) -> pa.Table:
             x = root[x]
         return x
 
-    keys = bucket_keys(signs[:1])[0].view(np.int64)
-    number = int(np.flatnonzero(keys == here)[0])
+    number = here & 127
     found = []
     sizes = np.unique(labels, return_counts=True)
     large = sizes[0][sizes[1].argmax()]
@@ -209,12 +274,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     sized = labelled.join(held.select("id", "n_shingles"), "id")
-    mixed = sized.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n_shingles").alias("total")).filter("low < high")
-    mixed = stage(mixed.select("key", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("n_blocks")), "mixed")
+    mixed = sized.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n_shingles").alias("total"), F.count("*").alias("n")).filter("low < high")
+    n_blocks = F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("n") / BLOCK_MEMBERS)).cast("int")
+    mixed = stage(mixed.select("key", n_blocks.alias("n_blocks")), "mixed")
     rest = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     # A member meets each block of its bucket once, its own included.
     meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda o: F.struct(F.least("block", o).alias("block_a"), F.greatest("block", o).alias("block_b"))))
     rest = rest.select("key", "id", "label", "block", meet.alias("m")).select("key", "id", "label", "block", "m.block_a", "m.block_b")
+    rest = rest.join(held.select("id", "signature"), "id").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    rest = stage(rest.mapInArrow(_alive, "key long, block_a int, block_b int, id long, label long, block int"), "alive")
     rest = rest.join(held.select("id", "signature"), "id").join(sets, "id")
     more = rest.groupBy("key", "block_a", "block_b").applyInArrow(_join_bucket, "a long, b long")
     labels = components(links.unionByName(stage(more, "bucket-links")))
