@@ -32,15 +32,15 @@ def read_backlog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_versioned(df: DataFrame, path: str, format: str = "parquet") -> str:
-    """Writes a new version beside the old ones and only then points `path`/_CURRENT at it, so readers never see half of
+    """Writes a new version beside the old ones and only then points `path`/CURRENT at it, so readers never see half of
     one.  Returns the version's folder."""
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.format(format).save(f"{path}/{version}")
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_CURRENT")
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/_CURRENT.{version}")
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT.{version}")
     out = fs.create(fresh, True)
     out.write(bytearray(version.encode()))
     out.close()
@@ -50,7 +50,7 @@ def write_versioned(df: DataFrame, path: str, format: str = "parquet") -> str:
 
 
 def read_versioned(spark: SparkSession, path: str, format: str = "parquet", schema=None) -> DataFrame:
-    version = spark.read.text(f"{path}/_CURRENT").first()[0]
+    version = spark.read.text(f"{path}/CURRENT").first()[0]
     reader = spark.read.format(format)
     return (reader.schema(schema) if schema else reader).load(f"{path}/{version}")
 

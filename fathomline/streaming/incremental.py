@@ -25,7 +25,7 @@ def index_files(spark: SparkSession, folder: str, table: str, checkpoint: str, e
 
     def merge(batch: DataFrame, _: int) -> None:
         rows = extract(batch)
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/_CURRENT")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/CURRENT")
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             rows = upsert(read_versioned(spark, table, schema=rows.schema), rows, keys)
         write_versioned(rows, table)
@@ -72,4 +72,4 @@ def retry_states(attempts: DataFrame, most: int = 3) -> DataFrame:
 
 def event_counts(events: DataFrame, every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts by window and kind of a stream (ts, event_type), final once `late` has passed."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n"))
