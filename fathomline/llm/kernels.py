@@ -6,6 +6,10 @@ made per word.  Words are maximal runs of bytes other than space and TAB..CR; on
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,6 +53,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Gives freed memory back to the system, at a task's end."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run):
+    """A function of batches that calls release() when it is done."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
     """(first row, bytes, offsets) of consecutive rows; at most limit bytes each unless one row alone has more."""
     if isinstance(texts, pa.ChunkedArray):

@@ -172,6 +172,12 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
     """(word, n) over all documents, as the encoder sees words."""
 
     def count(batches):
+        try:
+            yield from counted(batches)
+        finally:
+            tokens.WordCoder.release()
+
+    def counted(batches):
         coder = tokens.WordCoder.get(path)
         seen: Counter = Counter()
 
@@ -226,6 +232,11 @@ class Codec:
             os.rmdir(os.path.dirname(file))
         return cls._made[name]
 
+    @classmethod
+    def release(cls) -> None:
+        cls._made.clear()
+        tokens.WordCoder.release()
+
     def __init__(self, path: str, transducer: Transducer):
         self.coder = tokens.WordCoder.get(path)
         self.transducer = transducer
@@ -291,7 +302,12 @@ def transcode(docs: DataFrame, path: str | None = None, words: int = WORDS) -> D
     sent = spark.sparkContext.broadcast(data)
 
     def run(batches):
-        codec = Codec.get(path, sent.value, digest)
+        try:
+            yield from rows_of(batches, Codec.get(path, sent.value, digest))
+        finally:
+            Codec.release()
+
+    def rows_of(batches, codec):
         for batch in batches:
             names = batch.column("doc_id")
             for row, part, offsets in kernels.slices(batch.column("text"), tokens.SLICE // 2):

@@ -31,6 +31,7 @@ KEY = ["k1", "k2"]
 _POSTINGS = "k1 long, k2 long, doc_id long"
 
 
+@kernels.releasing
 def _postings(batches):
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -105,6 +106,7 @@ def drops(postings: DataFrame, shared: DataFrame) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_set("k1").alias("one"), F.collect_set("k2").alias("two"))
 
 
+@kernels.releasing
 def _kept(batches):
     """Adds the counts and the kept text.  A line goes if both halves of its key are among the document's."""
     for batch in batches:

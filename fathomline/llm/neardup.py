@@ -42,6 +42,7 @@ BLOCK_MEMBERS = 20_000
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
 
 
+@kernels.releasing
 def _sketch(batches):
     for batch in batches:
         ids = batch.column("doc_id")
@@ -66,6 +67,7 @@ def _matrix(signatures: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(signatures.to_pylist()), dtype=np.uint16).reshape(len(signatures), K)
 
 
+@kernels.releasing
 def _sets(batches):
     for batch in batches:
         ids = batch.column("id")
@@ -90,6 +92,7 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
+@kernels.releasing
 def _keys(batches):
     for batch in batches:
         keys = bucket_keys(_matrix(batch.column("signature")))
@@ -97,6 +100,7 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, K))], ["key", "id"])
 
 
+@kernels.releasing
 def _close(batches):
     """Pairs whose signatures are near enough."""
     for batch in batches:
@@ -114,6 +118,7 @@ def _linked(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
     return 100 * shared >= THRESHOLD * (sizes + len(x) - shared)
 
 
+@kernels.releasing
 def _confirm(batches):
     """Pairs that link on their full sets."""
     for batch in batches:
@@ -158,6 +163,7 @@ def _whole_groups(batches):
         yield pa.Table.from_batches(held)
 
 
+@kernels.releasing
 def _alive(batches):
     """The rows that have a near one of another component in their group, in the first bucket that both share."""
     for table in _whole_groups(batches):

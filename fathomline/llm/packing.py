@@ -34,6 +34,12 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         part, before = TaskContext.get().partitionId(), 0
+        try:
+            yield from rows_of(batches, part, before)
+        finally:
+            tokens.WordCoder.release()
+
+    def rows_of(batches, part, before):
         for batch in batches:
             names = batch.column("doc_id")
             for row, ids, border in tokens.encoded(path, batch):

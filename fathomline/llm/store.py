@@ -89,6 +89,12 @@ def cuts(ids: np.ndarray, border: np.ndarray) -> list[list[int]]:
 
 def _encode(path: str):
     def run(batches):
+        try:
+            yield from rows_of(batches)
+        finally:
+            tokens.WordCoder.release()
+
+    def rows_of(batches):
         for batch in batches:
             names = batch.column("doc_id")
             for row, ids, border in tokens.encoded(path, batch):
