@@ -78,8 +78,12 @@ def place(loads: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def plan(groups: DataFrame, shards: int) -> Plan:
-    """groups: g1, g2 and the three loads, a row for each group."""
+def _part(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(1)), parts).cast("int")
+
+
+def plan(rows: DataFrame, groups: DataFrame, shards: int) -> Plan:
+    """rows: as _measured gives them; groups: g1, g2 and the three loads, a row for each group."""
     total = groups.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in DIMENSIONS)).first()
     share = {c: max(total[c] / shards, 1e-9) for c in DIMENSIONS}
     most = F.greatest(*(F.col(c) / F.lit(share[c]) for c in DIMENSIONS))
@@ -90,11 +94,18 @@ def plan(groups: DataFrame, shards: int) -> Plan:
     for r in sorted(light, key=lambda r: r["cell"]):
         loads.append([r[c] / share[c] for c in DIMENSIONS])
         names.append((r["cell"],))
+    cut = [(r["g1"], r["g2"], int(np.ceil(r["most"] * CUT))) for r in heavy if r["most"] > 1]
     for r in sorted(heavy, key=lambda r: (r["g1"], r["g2"])):
-        parts = int(np.ceil(r["most"] * CUT)) if r["most"] > 1 else 1
-        for p in range(parts):
-            loads.append([r[c] / share[c] / parts for c in DIMENSIONS])
-            names.append((r["g1"], r["g2"], parts, p))
+        if r["most"] <= 1:
+            loads.append([r[c] / share[c] for c in DIMENSIONS])
+            names.append((r["g1"], r["g2"], 1, 0))
+    if cut:
+        # At most CUT parts for each share, so CUT * shards in each dimension.
+        named = F.broadcast(rows.sparkSession.createDataFrame(cut, "g1 long, g2 long, n_parts int"))
+        parts = rows.join(named, ["g1", "g2"]).groupBy("g1", "g2", "n_parts", _part(F.col("n_parts")).alias("part"))
+        for r in sorted(parts.agg(*(F.sum(c).alias(c) for c in DIMENSIONS[:2]), F.count("*").alias("n_rows")).collect()):
+            loads.append([r[c] / share[c] for c in DIMENSIONS])
+            names.append((r["g1"], r["g2"], r["n_parts"], r["part"]))
     shard = place(np.array(loads).reshape(-1, len(DIMENSIONS)), shards) if loads else []
     cells = [0] * CELLS
     out = []
@@ -111,13 +122,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     spark = docs.sparkSession
     rows = stage(_measured(docs, id_col, text_col), "shard-rows")
     groups = stage(rows.groupBy("g1", "g2").agg(F.sum("size").alias("size"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")), "shard-groups")
-    made = plan(groups, shards)
+    made = plan(rows, groups, shards)
     # At most 3 * HEAVY * shards groups, or 3 * CUT * (shards + 1) parts beyond that: a bounded table, so it is sent.
     heavy = spark.createDataFrame(made.heavy or [], "g1 long, g2 long, n_parts int, part int, heavy_shard int")
     whole = heavy.select("g1", "g2", "n_parts").distinct()
     cells = F.element_at(F.array(*(F.lit(s) for s in made.cells)), _cell() + 1)
     marked = rows.join(F.broadcast(whole), ["g1", "g2"], "left")
-    marked = marked.withColumn("part", F.when(F.col("n_parts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n_parts")).cast("int")))
+    marked = marked.withColumn("part", F.when(F.col("n_parts").isNotNull(), _part(F.col("n_parts"))))
     marked = marked.join(F.broadcast(heavy.drop("n_parts")), ["g1", "g2", "part"], "left").withColumn("shard", F.coalesce("heavy_shard", cells))
     return number_slots(marked).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_tokens"
