@@ -194,3 +194,71 @@ def s20(spark, sf_dir):
 def k08(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("pos"), F.concat(F.lit("u"), "doc_id").alias("url"), F.concat(F.lit("t"), "doc_id").alias("title"), F.substring("text", 1, 40).alias("markdown"))
     return web.assembled(pages, "lang", F.lit("# \n")).withColumn("text", F.sha2("text", 256))
+
+
+@query(
+    "s07_notebook_reader",
+    """
+    WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE trim(text) <> '')
+    SELECT conv_id, 'Conv ' || conv_id AS title, sha256(string_agg(CASE WHEN turn = 0 THEN '# Conv ' || conv_id || chr(10) || text ELSE text END, chr(10) || chr(10) ORDER BY turn)) AS text
+    FROM c GROUP BY conv_id HAVING min(turn) = 0
+    """,
+)
+def s07(spark, sf_dir):
+    """Notebooks whose cells are the turns of a conversation; the first is Markdown with a heading."""
+    from ..sources.files import extracted
+
+    turns = table(spark, sf_dir, "conversations").withColumn("first", F.min("turn").over(Window.partitionBy("conv_id"))).filter("first = 0")
+    source = F.when(F.col("turn") == 0, F.concat(F.lit("# Conv "), "conv_id", F.lit("\n"), "text")).otherwise(F.col("text"))
+    cell = F.struct(F.when(F.col("turn") == 0, "markdown").otherwise("code").alias("cell_type"), F.array(source).alias("source"))
+    notebooks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("cell")))).alias("c"))
+    raw = F.to_json(F.struct(F.transform("c", lambda x: x["cell"]).alias("cells")))
+    read = notebooks.select("conv_id", extracted(F.lit("/n.ipynb"), F.encode(raw, "UTF-8")).alias("x"))
+    return read.select("conv_id", "x.title", F.sha2(F.get("x.pages", F.lit(0))["text"], 256).alias("text"))
+
+
+@query("s10_reader_dispatch", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.4 WHEN 2 THEN 0.0 ELSE 0.0 END AS confidence, doc_id % 4 IN (2, 3) AS review FROM documents")
+def s10(spark, sf_dir):
+    """Text, process models, a kind that has no reader, and files that aren't what their name says."""
+    from ..sources.files import extracted
+
+    k = F.col("doc_id") % 4
+    path = F.concat(F.lit("/lib/d"), F.when(k == 0, ".md").when(k == 1, ".bpmn").when(k == 2, ".xyz").otherwise(".docx"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return docs.withColumn("x", extracted("path", "content")).select("doc_id", F.col("x.extraction_confidence").alias("confidence"), F.col("x.needs_review").alias("review"))
+
+
+@query("s18_checkout", "SELECT 'b' || item_id || '.md' AS url, 'b' || item_id AS title FROM benchmark WHERE length(trim(text)) >= 120")
+def s18(spark, sf_dir):
+    from ..sources.files import checkout_pages
+
+    tree = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("/repo/docs/b"), "item_id", F.lit(".md")).alias("path"), "text")
+    return checkout_pages(tree, "/repo/docs", "s").select("url", "title")
+
+
+@query("d05_enqueue", "SELECT lpad(CAST(event_id AS VARCHAR), 11, '0') AS video_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS playlists FROM events")
+def d05(spark, sf_dir):
+    """Even events are videos of their own; odd ones come from the playlist of their user."""
+    from ..sources import video
+
+    e = table(spark, sf_dir, "events").withColumn("v", F.lpad(F.col("event_id").cast("string"), 11, "0"))
+    mine = F.concat(F.lit("https://www.youtube.com/playlist?list=PL"), "user_id")
+    own = e.filter("event_id % 2 = 0").select(F.concat(F.lit("https://youtu.be/"), "v").alias("line"), F.col("event_id").cast("int").alias("pos"))
+    lists_ = e.filter("event_id % 2 = 1").select(mine.alias("line"), F.col("user_id").cast("int").alias("pos")).distinct()
+    expanded = e.filter("event_id % 2 = 1").select(mine.alias("source"), F.col("v").alias("video_id"), F.lit(None).cast("string").alias("url"), F.lit("t").alias("title"), F.lit("c").alias("channel"), F.col("event_id").cast("int").alias("pos"))
+    made = video.enqueue(video.classify_sources(own.unionByName(lists_)), expanded)
+    return made.select("video_id", F.size("playlists").alias("playlists"))
+
+
+@query(
+    "t05_transcript_documents",
+    "SELECT CAST(conv_id AS VARCHAR) AS video_id, 'Acme/Talk ' || conv_id || ' [' || conv_id || '].md' AS path FROM conversations GROUP BY conv_id",
+)
+def t05(spark, sf_dir):
+    from ..sources import video
+
+    told = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("video_id")).agg(F.array_sort(F.collect_list(F.struct((F.col("turn") * 10).cast("double").alias("start"), "text"))).alias("snippets"))
+    transcripts = told.select("video_id", F.lit("en").alias("lang"), F.lit(False).alias("generated"), "snippets")
+    facts = told.select("video_id", F.lit(None).cast("string").alias("url"), F.concat(F.lit("Talk: "), "video_id").alias("title"), F.lit("Acme").alias("channel"), F.lit(None).cast("string").alias("channel_url"), F.lit("20240131").alias("upload_date"), F.lit(65.0).alias("duration"), F.lit(" ").alias("description"))
+    backlog = told.select("video_id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("channel"), F.lit("u").alias("url"), F.array().cast("array<string>").alias("playlists"))
+    return video.transcript_documents(backlog, facts, video.preferred(transcripts, ["en"])).select("video_id", "path")

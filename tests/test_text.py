@@ -92,3 +92,28 @@ def test_hash_embedder(spark):
 
 def test_cosine_of_a_zero_vector_is_null(spark):
     assert one(spark, V.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) is None
+
+
+def test_embedders(spark):
+    import pickle
+
+    from fathomline.functions import embedders as E
+
+    local = E.LocalEmbedder("m", lambda: lambda texts: [[len(t), 1] for t in texts], passage="p:", query="query:")
+    assert local.dim == 2 and local.embed(["ab"] * 130)[129] == [4.0, 1.0] and local.embed_query("a") == [7.0, 1.0]
+    assert len(pickle.loads(pickle.dumps(E.HashEmbedder(8))).embed(["a"])[0]) == 8
+    waits, fails = [], [1, 1]
+
+    def send(model, texts):
+        if fails:
+            fails.pop()
+            raise OSError
+        return [[0.0] * 3 for _ in texts]
+
+    remote = E.RemoteEmbedder("r", send, wait=waits.append)
+    assert remote.dim == 3 and waits == [1, 2] and len(remote.embed(["x"] * 65)) == 65
+    with pytest.raises(ValueError):
+        E.get_embedder("none")
+    with pytest.raises(ValueError):
+        E.check_dim(2, remote)
+    assert E.check_dim(None, E.get_embedder(dim=16)) == 16
