@@ -24,6 +24,9 @@ ROUNDS = 8
 KEY = "fathomline-example-key"
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
+#: A column that only lives within pseudonymize().
+FOUND = "__fathomline_found"
+
 #: kind: pattern (Java), in order of precedence.
 PATTERNS: dict[str, str] = {
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
@@ -209,20 +212,21 @@ def _one(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """docs with the text replaced, and `pii`, the kinds found in their order (an empty array: none)."""
+def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text", kinds_col: str = "pii") -> DataFrame:
+    """docs with the text replaced, and a column of the kinds found in their order (an empty array: none), which takes the
+    place of one of that name."""
     text = F.col(f"`{text_col}`")
     some = F.coalesce(text.rlike(ANY), F.lit(False))
-    df = docs.withColumn("_found", F.when(some, F.transform(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), lambda m: F.struct(m.alias("m"), _one(m, key).alias("p")))))
-    new = F.transform("_found", lambda x: F.coalesce(x["p"]["new"], x["m"]))
+    df = docs.withColumn(FOUND, F.when(some, F.transform(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), lambda m: F.struct(m.alias("m"), _one(m, key).alias("p")))))
+    new = F.transform(FOUND, lambda x: F.coalesce(x["p"]["new"], x["m"]))
     whole = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    kinds = F.transform(F.filter("_found", lambda x: x["p"]["new"].isNotNull()), lambda x: x["p"]["kind"])
-    return df.withColumns({text_col: F.when(F.col("_found").isNotNull(), whole).otherwise(text), "pii": F.coalesce(kinds, F.array().cast("array<string>"))}).drop("_found")
+    kinds = F.transform(F.filter(FOUND, lambda x: x["p"]["new"].isNotNull()), lambda x: x["p"]["kind"])
+    return df.withColumns({text_col: F.when(F.col(FOUND).isNotNull(), whole).otherwise(text), kinds_col: F.coalesce(kinds, F.array().cast("array<string>"))}).drop(FOUND)
 
 
 def clean_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs, same columns, with pseudonyms in the text and n_chars, if it is there, counted anew."""
-    out = pseudonymize(docs, key)
+    out = pseudonymize(docs, key, kinds_col="__fathomline_kinds")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
