@@ -205,7 +205,7 @@ def build_lexicon(docs: DataFrame, path: str, words: int = WORDS) -> Transducer:
     top = [r["word"] for r in word_counts(docs, path).orderBy(F.desc("n"), "word").limit(words).collect()]
     coder = tokens.WordCoder.get(path)
     top = sorted(top, key=str.encode)
-    flat, sizes = coder.encode_words(top) if top else (np.zeros(0), np.zeros(0, np.int64))
+    flat, sizes = coder.encode_words(pa.array(top, pa.string())) if top else (np.zeros(0), np.zeros(0, np.int64))
     border = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     entries = []
     for i, word in enumerate(top):
@@ -254,7 +254,7 @@ class Codec:
             self.merged.clear()
         new = [w for w in unseen if w not in self.merged]
         if new:
-            flat, sizes = self.coder.encode_words(new)
+            flat, sizes = self.coder.encode_words(pa.array(new, pa.string()))
             ids = flat.tolist()
             border = np.concatenate([[0], np.cumsum(sizes)]).tolist()
             parts = [ids[a:b] for a, b in zip(border[:-1], border[1:], strict=True)]
