@@ -141,7 +141,7 @@ class LineIndex:
     """The postings and what follows from them.  Each change gives a new index; the old one stays as it was."""
 
     def __init__(self, postings: DataFrame):
-        self.postings = postings
+        self.postings = postings.select(*KEY, "doc_id")
         self.shared = stage(shared_keys(postings), "line-counts")
 
     @classmethod
