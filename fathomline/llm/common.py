@@ -45,6 +45,20 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of one or two longs that may go to every task: 64 MB at most.
+SENT_ROWS = 4_000_000
+
+
+def sent_if_small(ids: DataFrame) -> DataFrame:
+    """A staged table of ids, marked to be sent to every task if it has at most SENT_ROWS rows; else joins shuffle."""
+    return F.broadcast(ids) if ids.count() <= SENT_ROWS else ids
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether any id has several rows."""
+    return bool(docs.groupBy(id_col).count().filter("count > 1").limit(1).count())
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns, under fixed names, a null text as an empty one."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

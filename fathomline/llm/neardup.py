@@ -16,19 +16,19 @@ Equal sets are one class throughout.  Buckets are worked off in two steps, witho
 
 A link is only ever one that 100 * |intersection| >= THRESHOLD * |union| confirms on full sets of 64-bit hashes.
 
-Null and empty texts have an empty set and link with nothing.  Rows that repeat a doc_id are one document.  Rows without
-a doc_id take no part and are not returned.  Other columns are ignored.
+Null and empty texts have an empty set and link with nothing.  Rows that repeat a doc_id are one document, whose text is
+the smallest of theirs.  Rows without a doc_id take no part and are not returned.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import documents, id_text, stage
+from .common import documents, id_text, repeats, sent_if_small, stage
 from .components import components
 
 THRESHOLD = 85
@@ -252,12 +252,15 @@ def _join_bucket(table: pa.Table) -> pa.Table:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """One row for each document: the size of its shingle set, 128 bits that tell sets apart, and its signature."""
-    return id_text(docs).filter("doc_id is not null").mapInArrow(_sketch, _SKETCH)
+    """One row for each row of (doc_id, text): the size of its shingle set, 128 bits that tell sets apart, its signature."""
+    return docs.mapInArrow(_sketch, _SKETCH)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
+    docs = id_text(docs).filter("doc_id is not null")
+    if repeats(docs):
+        docs = stage(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "documents-once")
     sketched = stage(sketches(docs), "sketches")
     digest = ["n_shingles", "d1", "d2"]
     full = sketched.filter("n_shingles > 0")
@@ -267,8 +270,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stage(keys.join(hubs, "key"), "members")
 
     # The sets of all that share a bucket, made once.
-    wanted = members.select("id").distinct()
-    texts = id_text(docs).filter("doc_id is not null").withColumnRenamed("doc_id", "id").join(wanted, "id").dropDuplicates(["id"])
+    wanted = stage(members.select("id").distinct(), "wanted")
+    texts = docs.withColumnRenamed("doc_id", "id").join(sent_if_small(wanted), "id")
     sets = stage(texts.mapInArrow(_sets, "id long, hashes binary"), "sets", compression="none")
     held = classes.select("id", "signature", "n_shingles")
 
@@ -293,7 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = rest.groupBy("key", "block_a", "block_b").applyInArrow(_join_bucket, "a long, b long")
     labels = components(links.unionByName(stage(more, "bucket-links")))
 
-    rows = sketched.select("doc_id", *digest).dropDuplicates(["doc_id"])
+    rows = sketched.select("doc_id", *digest)
     whole = classes.select(*digest, "id").join(labels, "id", "left").select(*digest, F.coalesce("label", "id").alias("component_id"))
     out = rows.join(stage(whole, "class-labels"), digest, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -305,9 +308,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, one for each group of near copies, all columns as they were."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that are kept, one for each group of near copies, all columns as they were.
+
+    What goes is mostly far less than what stays, so the ids that go are joined, and sent if they are few."""
+    gone = stage(near_duplicates(docs).filter(~F.col("kept")).select("doc_id"), "near-copies")
+    kept = docs.filter("doc_id is not null").join(sent_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    if repeats(docs.filter("doc_id is not null")):
+        first = Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")))
+        kept = kept.withColumn("__fathomline_nth", F.row_number().over(first)).filter("__fathomline_nth = 1").drop("__fathomline_nth")
+    return kept
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, documents, id_text, stage
+from .common import SPACE, SPACES, documents
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -57,12 +57,14 @@ def _pairs(array: Column, f) -> Column:
     return F.zip_with(array, F.slice(array, F.lit(2), F.greatest(F.size(array) - 1, F.lit(0))), f)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measures, one row for each row of docs."""
+def measure(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id and the measures, one row for each row of docs; with `row`, also that column of docs as _row."""
     get = lambda i, k: F.get(F.col("words"), i + k)
-    text = F.col("text")
-    df = id_text(docs).select(
-        "doc_id",
+    text = F.coalesce(F.col("text"), F.lit(""))
+    carried = [] if row is None else ["_row"]
+    df = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *([] if row is None else [row.alias("_row")]),
         F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}")).alias("lines"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
@@ -71,6 +73,7 @@ def measure(docs: DataFrame) -> DataFrame:
     windows = F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*(get(i, k) for k in range(WINDOW))))
     df = df.select(
         "doc_id",
+        *carried,
         "word_chars",
         "n_symbols",
         F.size("words").cast("long").alias("n_words"),
@@ -87,16 +90,16 @@ def measure(docs: DataFrame) -> DataFrame:
         _pairs(F.col("places"), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda total, x: total + x
     )
     return df.select(
-        "doc_id", "n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", F.when(F.col("again"), covered).otherwise(0).cast("long").alias("n_repeat_words")
+        "doc_id", *carried, "n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", F.when(F.col("again"), covered).otherwise(0).cast("long").alias("n_repeat_words")
     )
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """The measures and `failed`, the bits of the failed rules."""
     failed = F.lit(0).cast("long")
     for rule, when in RULES.items():
         failed = failed.bitwiseOR(F.when(F.expr(when), F.lit(bit(rule))).otherwise(0).cast("long"))
-    return measure(docs).withColumn("failed", failed)
+    return measure(docs, row).withColumn("failed", failed)
 
 
 def apply_policy(ledger: DataFrame, policy: Policy = POLICY) -> DataFrame:
@@ -118,14 +121,16 @@ def ablation(ledger: DataFrame, policy: Policy = POLICY) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, policy: Policy = POLICY) -> DataFrame:
-    """Rows of docs that the policy keeps, all columns as they were.
+    """Rows of docs that the policy keeps, all columns as they were.  Rows without a doc_id go: nothing later could name
+    them.
 
-    A repeated doc_id is judged by the row itself if all its rows agree, else kept when any of them is kept.  Rows without
-    a doc_id go: nothing later could name them.  The ledger is written first; a filter pushed into its expressions would
-    evaluate them again and again.
+    A row is judged by its own text and carried along, so there is no join and no shuffle.  The verdict is combined with
+    a condition that always holds but isn't deterministic, which keeps the filter above the projection: pushed below it,
+    all measures would be evaluated again for each time the condition names them.
     """
-    kept = apply_policy(stage(ledger(docs), "quality-ledger"), policy).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    judged = apply_policy(ledger(docs.filter("doc_id is not null"), row), policy).select("_row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("kept"))
+    return judged.filter("kept").select("_row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
