@@ -12,7 +12,8 @@ from pyspark.sql.types import StringType
 from .columns import col, first_of, idiv, let
 
 WS = r"(?U)\s+"
-EDGES = r"(?U)^\s+|\s+$"
+#: White space as str.strip() knows it.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @F.pandas_udf(StringType())
@@ -28,7 +29,7 @@ def folded(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), EDGES, "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def clean(c: Column | str) -> Column:

@@ -89,6 +89,7 @@ def similar(vectors: DataFrame, k: int = SIMILAR_K, least: float = LEAST_SCORE,
     blocks bound what a task holds.
     """
     kind = vectors.schema["doc_id"].dataType
+    vectors = vectors.persist()  # counted, and read from both sides
     n = vectors.count()
     blocks = max(1, -(-n // block))
     dealt = vectors.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
@@ -108,9 +109,11 @@ def similar(vectors: DataFrame, k: int = SIMILAR_K, least: float = LEAST_SCORE,
         out: tuple[list, list, list] = ([], [], [])
         names = np.array(ids_b, dtype=object)
         for at in range(0, len(x), 512):
-            scores = np.round(x[at : at + 512] @ y.T, 9) if len(y) else np.zeros((0, 0))
+            scores = np.round(x[at : at + 512] @ y.T, 9)
+            # The least of the k + 1 best (one may be the document itself) bounds what has to be sorted.
+            bound = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)] if len(y) > k + 1 else np.full(len(scores), -np.inf)
             for r, row in enumerate(scores):
-                found = [(-row[c], names[c]) for c in np.flatnonzero(row >= least) if names[c] != ids_a[at + r]]
+                found = [(-row[c], names[c]) for c in np.flatnonzero(row >= max(least, bound[r])) if names[c] != ids_a[at + r]]
                 for s, name in sorted(found)[:k]:
                     out[0].append(ids_a[at + r])
                     out[1].append(name)

@@ -79,19 +79,14 @@ def _words(query: str) -> list[str]:
 
 
 def bm25_hits(chunks: DataFrame, query: str, pool: int) -> DataFrame:
-    """BM25 without an index: the corpus is tokenized once, and only the query's words are counted."""
+    """BM25 without an index: chunks are tokenized, and only occurrences of the query's words leave their task."""
     words = sorted(set(_words(query)))
-    every = chunks.select("chunk_id", "doc_id", tokens("text").alias("words")).select(
-        "chunk_id", "doc_id", F.size("words").alias("length"), F.struct(*((F.size("words") - F.size(F.array_remove("words", w))).alias(f"tf{i}") for i, w in enumerate(words)), F.lit(0).alias("none")).alias("t")
-    )
-    figures = every.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"t.tf{i}") > 0).alias(f"df{i}") for i in range(len(words)))).first()
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        tf, df = F.col(f"t.tf{i}"), figures[f"df{i}"]
-        idf = F.log(F.lit((figures["n"] - df + 0.5) / (df + 0.5) + 1))
-        score += F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(figures["mean"] or 1.0)))).otherwise(0.0)
-    scored = every.select("chunk_id", "doc_id", F.round(score, 9).alias("score")).filter("score > 0")
-    return _ranked(scored.orderBy(F.desc("score"), "chunk_id").limit(pool), F.desc("score"))
+    told = chunks.select("chunk_id", "doc_id", tokens("text").alias("words"))
+    figures = told.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    wanted = F.filter("words", lambda x: x.isin(words)) if words else F.array().cast("array<string>")
+    hits = told.select("chunk_id", "doc_id", F.size("words").alias("length"), F.explode(wanted).alias("term"))
+    postings = hits.groupBy("term", "chunk_id", "doc_id", "length").agg(F.count("*").alias("tf"))
+    return Bm25Index(postings, figures["n"], figures["mean"] or 0.0).search(query, pool)
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, constant: int = RRF) -> DataFrame:

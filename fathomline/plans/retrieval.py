@@ -86,7 +86,8 @@ EMBEDDER = V.HashEmbedder(64)
 
 
 def embedded_chunks(spark, sf_dir) -> DataFrame:
-    return chunks(spark, sf_dir).withColumn("embedding", F.transform(EMBEDDER.column("text"), lambda x: x))
+    """Chunks with hashed vectors.  A library holds them as a table; here they are made once for a query's several uses."""
+    return chunks(spark, sf_dir).withColumn("embedding", EMBEDDER.column("text")).persist()
 
 
 def rounded_hits(df: DataFrame, pool: int) -> DataFrame:
@@ -105,7 +106,7 @@ def library(spark, sf_dir) -> DataFrame:
 @query("r03_rank_fusion", f"WITH {HYBRID_SQL.format(pool=50)} SELECT chunk_id, doc_id, round(score, 6) AS score FROM fused ORDER BY fused.score DESC, v NULLS LAST, b NULLS LAST LIMIT {K}")
 def r03(spark, sf_dir):
     made = embedded_chunks(spark, sf_dir)
-    fused = R.fuse(rounded_hits(made, R.pool_size(K)), R.bm25_hits(chunks(spark, sf_dir), QUERY, R.pool_size(K)))
+    fused = R.fuse(rounded_hits(made, R.pool_size(K)), R.bm25_hits(made, QUERY, R.pool_size(K)))
     return R.best(fused, K).select("chunk_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -116,12 +117,13 @@ def r04(spark, sf_dir):
 
 @query(
     "r05_filter_after_ranking",
-    f"WITH {HYBRID_SQL.format(pool=200)} SELECT chunk_id, f.doc_id, round(score, 6) AS score FROM fused f JOIN documents d ON d.doc_id = f.doc_id WHERE lang = 'de' ORDER BY f.score DESC, v NULLS LAST, b NULLS LAST LIMIT {K}",
+    f"WITH {HYBRID_SQL.format(pool=200)} SELECT chunk_id, f.doc_id, round(score, 6) AS score FROM fused f JOIN documents d ON d.doc_id = f.doc_id WHERE lang <> 'de' ORDER BY f.score DESC, v NULLS LAST, b NULLS LAST LIMIT {K}",
 )
 def r05(spark, sf_dir):
     n = R.pool_size(K, filtered=True)
-    fused = R.fuse(rounded_hits(embedded_chunks(spark, sf_dir), n), R.bm25_hits(chunks(spark, sf_dir), QUERY, n))
-    return R.best(R.allowed(fused, library(spark, sf_dir), True), K).select("chunk_id", "doc_id", F.round("score", 6).alias("score"))
+    made = embedded_chunks(spark, sf_dir)
+    fused = R.fuse(rounded_hits(made, n), R.bm25_hits(made, QUERY, n))
+    return R.best(R.allowed(fused, library(spark, sf_dir), False), K).select("chunk_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -211,8 +213,8 @@ def r08(spark, sf_dir):
 def r11(spark, sf_dir):
     made = embedded_chunks(spark, sf_dir)
     n = R.pool_size(K)
-    top = R.best(R.fuse(rounded_hits(made, n), R.bm25_hits(chunks(spark, sf_dir), QUERY, n)), K)
-    return R.materialise(top.select("chunk_id", "doc_id", "score"), chunks(spark, sf_dir), library(spark, sf_dir))
+    top = R.best(R.fuse(rounded_hits(made, n), R.bm25_hits(made, QUERY, n)), K)
+    return R.materialise(top.select("chunk_id", "doc_id", "score"), made, library(spark, sf_dir))
 
 
 @query("r11_search_expanded", None)
