@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a minimal acyclic transducer of frequent words.
 
-The words of the whole corpus are counted, and the WORDS most frequent become a minimal acyclic automaton, built in one
+The words of the whole corpus are counted, and the most frequent ones, at most WORDS, become a minimal acyclic automaton, built in one
 sorted pass that shares suffixes (Daciuk, Mihov, Watson, Watson 2000).  Its arcs carry numbers that add up to the word's
 rank along its path (Lucchesi and Kowaltowski 1993), and the rank finds the word's ids and its decoded form in two
 flat tables.  Everything is one file of arrays that workers map into memory; its size is bounded by WORDS.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels, tokens
-from .common import documents, id_text
+from .common import documents, id_text, stage
 
 #: Words of the lexicon: a bound on what the driver builds and sends.
 WORDS = 1 << 16
@@ -200,9 +200,25 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
     return id_text(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, words: int) -> list[str]:
+    """The words above the least count, of those a sixteenth of an octave apart, that at most `words` words reach.
+
+    A top-k would send that many words from every task to the driver; this sends a histogram of some hundred rows, and
+    then the words themselves once.
+    """
+    counts = stage(counts, "word-counts").withColumn("level", F.floor(16 * F.log2("n")).cast("int"))
+    least, held = None, 0
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        held += r["count"]
+        if held > words:
+            break
+        least = r["level"]
+    return [] if least is None else [r["word"] for r in counts.filter(F.col("level") >= least).select("word").collect()]
+
+
 def build_lexicon(docs: DataFrame, path: str, words: int = WORDS) -> Transducer:
-    """The transducer of the most frequent words, ties by the word."""
-    top = [r["word"] for r in word_counts(docs, path).orderBy(F.desc("n"), "word").limit(words).collect()]
+    """The transducer of at most `words` words, the most frequent ones."""
+    top = frequent_words(word_counts(docs, path), words)
     coder = tokens.WordCoder.get(path)
     top = sorted(top, key=str.encode)
     flat, sizes = coder.encode_words(pa.array(top, pa.string())) if top else (np.zeros(0), np.zeros(0, np.int64))
