@@ -152,12 +152,21 @@ def search(
     fused = fuse(vector_hits(chunks, vector, n), index.search(query, n) if index else bm25_hits(chunks, query, n))
     if internal is not None:
         fused = allowed(fused, documents, internal)
-    top = best(fused, k).select("chunk_id", "doc_id", "score")
-    out = materialise(top, chunks, documents)
-    if not graph or not {"doc_similar", "doc_authors", "doc_keywords"} <= set(graph):
+    # k rows: taken once, as hits, seeds and exclusions all follow from them.
+    spark, best_k = chunks.sparkSession, best(fused, k).select("chunk_id", "doc_id", "score")
+    rows = best_k.collect()
+    out = materialise(spark.createDataFrame(rows, best_k.schema), chunks, documents)
+    if not rows or not graph or not {"doc_similar", "doc_authors", "doc_keywords"} <= set(graph):
+        return out
+    weights: dict = {}
+    known = {r["doc_id"] for r in documents.filter(F.col("doc_id").isin([r["doc_id"] for r in rows])).select("doc_id").collect()}
+    for r in rows:
+        if r["doc_id"] in known:
+            weights[r["doc_id"]] = weights.get(r["doc_id"], 0.0) + round(r["score"], 6)
+    seeds = sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:SEEDS]
+    if not seeds:
         return out
-    seeds = out.groupBy("doc_id").agg(F.sum("score").alias("w")).orderBy(F.desc("w"), "doc_id").limit(SEEDS)
     limit = max(3, k // 2)
+    seeds = spark.createDataFrame(seeds, f"doc_id {best_k.schema['doc_id'].dataType.simpleString()}, w double")
     found = neighbours(seeds, graph["doc_similar"], graph["doc_authors"], graph["doc_keywords"], limit)
-    found = found.join(F.broadcast(out.select("doc_id").distinct()), "doc_id", "left_anti")
-    return out.unionByName(expand(found, chunks, documents, vector, limit))
+    return out.unionByName(expand(found.filter(~F.col("doc_id").isin(list(weights))), chunks, documents, vector, limit))
