@@ -20,8 +20,8 @@ def one(spark, column, **values):
         (T.norm_term, "Petri-Net (coloured)", "petri-net coloured"),
         (T.guess_year, "1969, 1999, 2051, 2030", 2030),
         (T.guess_year, "none", None),
-        (T.surname, "Wil van der Aalst", "van der Aalst"),
-        (T.surname_import, "Wil van der Aalst", "der Aalst"),
+        (T.surname, "Jan van der Berg", "van der Berg"),
+        (T.surname_import, "Jan van der Berg", "der Berg"),
         (T.surname, "2nd A. Name (B)", "Name"),
         (T.surname, " ", ""),
         (T.surname_import, "", "Unknown"),
