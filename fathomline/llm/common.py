@@ -13,6 +13,16 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch between the JVM and Python: texts are large, and both sides hold a batch outside the heap.
+BATCH_ROWS = "2000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has set a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -31,6 +41,7 @@ def scratch_root(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written to a table of the shared folder and read again: lost executors cost no earlier work."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -61,4 +72,5 @@ def repeats(docs: DataFrame, id_col: str = "doc_id") -> bool:
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns, under fixed names, a null text as an empty one."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -122,8 +122,9 @@ def _linked(x: np.ndarray, ys: list[np.ndarray]) -> np.ndarray:
 def _confirm(batches):
     """Pairs that link on their full sets."""
     for batch in batches:
-        a, b = (batch.column(c).to_pylist() for c in ("ha", "hb"))
-        hit = [bool(_linked(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)])[0]) for x, y in zip(a, b, strict=True)]
+        a, b = batch.column("ha"), batch.column("hb")
+        view = lambda column, i: np.frombuffer(column[i].as_buffer(), np.uint64)
+        hit = [bool(_linked(view(a, i), [view(b, i)])[0]) for i in range(len(batch))]
         yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
 
@@ -212,7 +213,7 @@ def _join_bucket(table: pa.Table) -> pa.Table:
     table = table.take(pa.array(order))
     ids, labels, blocks = ids[order], labels[order], table.column("block").to_numpy()
     signs = _matrix(table.column("signature").combine_chunks())
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
     root = {int(x): int(x) for x in labels}
 
     def find(x: int) -> int:
