@@ -30,7 +30,7 @@ def written(spark, tmp_path, texts):
 
 
 def test_pipeline_against_plain_stages(spark, tmp_path):
-    from test_operators import crc, deduped
+    from test_llm_operators import crc, deduped
     from tokenizers import Tokenizer
 
     texts = corpus(45, seed=7)
