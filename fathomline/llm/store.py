@@ -4,9 +4,11 @@ A rolling hash over the last WINDOW ids cuts each document's id stream into chun
 wherever they stand.  A chunk's address is a 128-bit BLAKE2 digest of its ids.  A chunk that several documents hold is
 written once, to `kind=chunk`; one that a single document holds is written once with that document's recipe, to
 `kind=document`, whose files are in ascending doc_id order.  A recipe lists the addresses and sizes; its Merkle root is
-stored with it, and a Merkle root over the documents of each file range is the manifest.
+stored with it.  The manifest, `kind=manifest`, is written with them from the roots as encoded: for each file range (part)
+its documents, ids and a Merkle root over its documents, and a row with part HEAD for all parts.
 
-Reading back joins shared chunks to the recipes that name them (recipes with the same root are put together once),
+Reading back first holds the documents found against the manifest, and fails on a file or row that is lost, added or out of
+place.  It joins shared chunks to the recipes that name them (recipes with the same root are put together once),
 checks every chunk against its address and every document against its root, and fails on a difference.
 
 Ids are little-endian unsigned integers of 16 bits, or 32 for larger vocabularies, in zstandard blocks.  A null or empty
@@ -34,8 +36,10 @@ MEAN, LEAST, MOST = 256, 64, 2048
 _ENCODED = "doc_id long, n_tokens long, width int, sizes array<int>, addresses array<binary>, root binary, ids binary"
 _RECORD = (
     "kind string, doc_id long, part int, local_start long, n_tokens long, width int, sizes array<int>, addresses array<binary>, "
-    "shared array<int>, root binary, address binary, ids binary"
+    "shared array<int>, root binary, address binary, ids binary, n_docs long"
 )
+#: The part of the manifest's row for the whole store.
+HEAD = -1
 
 
 _DOCUMENT = ("doc_id", "n_tokens", "width", "sizes", "addresses", "root")
@@ -131,22 +135,28 @@ def _encode(path: str):
 _SCHEMA = pa.schema(
     [
         ("kind", pa.string()), ("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()),
-        ("sizes", pa.list_(pa.int32())), ("addresses", pa.list_(pa.binary())), ("shared", pa.list_(pa.int32())), ("root", pa.binary()), ("address", pa.binary()), ("ids", pa.binary()),
+        ("sizes", pa.list_(pa.int32())), ("addresses", pa.list_(pa.binary())), ("shared", pa.list_(pa.int32())), ("root", pa.binary()), ("address", pa.binary()), ("ids", pa.binary()), ("n_docs", pa.int64()),
     ]
 )
 
 
 def _records(batches):
-    """Rows come in doc_id order, a document's list of shared addresses before the document: what is written of them.
+    """Rows come in doc_id order, a document's list of shared addresses before the document: what is written of them, and
+    the part's row of the manifest.
 
     Documents that share nothing and repeat no chunk, which are most, go through as they are."""
     part, before, held, shared, owed = TaskContext.get().partitionId(), 0, None, set(), set()
+    first, roots = None, []
     for batch in batches:
         order = batch.column("order").to_numpy()
         ids, named = batch.column("doc_id").to_pylist(), batch.column("addresses")
         n = batch.column("n_tokens").fill_null(0).to_numpy()
         starts = before + np.cumsum(n) - n
         before += int(n.sum())
+        coming = batch.filter(pa.array(order == 1))
+        roots += coming.column("root").to_pylist()
+        if first is None:
+            first = next((i for i in coming.column("doc_id").to_pylist() if i is not None), None)
         plain, out = [], []
         for i in range(len(batch)):
             if order[i] == 0:
@@ -175,11 +185,14 @@ def _records(batches):
             at = pa.array(plain)
             rows = len(plain)
             known = {c: batch.column(c).take(at) for c in [*_DOCUMENT, "ids"]} | {
-                "kind": pa.array(["document"] * rows), "part": pa.array(np.full(rows, part), pa.int32()), "local_start": pa.array(starts[plain]), "shared": pa.array([[]] * rows, pa.list_(pa.int32())), "address": pa.nulls(rows, pa.binary())
+                "kind": pa.array(["document"] * rows), "part": pa.array(np.full(rows, part), pa.int32()), "local_start": pa.array(starts[plain]), "shared": pa.array([[]] * rows, pa.list_(pa.int32())), "address": pa.nulls(rows, pa.binary()), "n_docs": pa.nulls(rows, pa.int64())
             }
             yield pa.RecordBatch.from_arrays([known[f.name].cast(f.type) for f in _SCHEMA], schema=_SCHEMA)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+    if roots:
+        told = {"kind": "manifest", "doc_id": first, "part": part, "n_docs": len(roots), "n_tokens": before, "root": merkle_root(roots)}
+        yield pa.RecordBatch.from_pylist([told], schema=_SCHEMA)
 
 
 class Store:
@@ -202,30 +215,45 @@ class Store:
         mine = F.when(F.col("doc_id") == F.col("first_doc"), F.col("address"))
         lists = held.join(shared, "address").groupBy("doc_id").agg(F.collect_list("address").alias("held"), F.collect_list(mine).alias("owned"))
         both = lists.withColumn("order", F.lit(0)).unionByName(done.withColumn("order", F.lit(1)), allowMissingColumns=True)
-        dealt = both.repartitionByRange(_ranges(spark, done), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "order", "root")
+        n_docs, n_tokens, size = done.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.col("n_tokens") * F.col("width")), F.lit(0))).first()
+        dealt = both.repartitionByRange(_ranges(spark, size), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "order", "root")
         dealt.mapInArrow(_records, _RECORD).write.partitionBy("kind").option("compression", "none").parquet(path)
-        return cls(spark, path)
+        made = cls(spark, path)
+        parts = made.manifest().orderBy("part").collect()
+        if (sum(r["n_docs"] for r in parts), sum(r["n_tokens"] for r in parts)) != (n_docs, n_tokens):
+            raise ValueError("the store does not hold the documents that were encoded")
+        head = [("manifest", HEAD, n_docs, n_tokens, merkle_root([r["root"] for r in parts]))]
+        columns = "kind string, part int, n_docs long, n_tokens long, root binary"
+        spark.createDataFrame(head, columns).coalesce(1).write.mode("append").partitionBy("kind").option("compression", "none").parquet(path)
+        return made
 
     def manifest(self) -> DataFrame:
-        """(part, first_doc, n_docs, n_tokens, root): a Merkle root for each range of documents."""
+        """(part, first_doc, n_docs, n_tokens, root): a Merkle root for each range of documents, as written."""
+        return self.read("manifest").filter(F.col("part") != HEAD).select("part", F.col("doc_id").alias("first_doc"), "n_docs", "n_tokens", "root")
 
-        def roots(batches):
-            for key, rows in _by_part(batches):
-                leaves = [r["root"] for r in sorted(rows, key=lambda r: r["local_start"])]
-                yield pa.RecordBatch.from_pylist([{"part": key, "root": merkle_root(leaves)}], schema=pa.schema([("part", pa.int32()), ("root", pa.binary())]))
-
-        documents = self.read("document")
-        leaves = documents.select("part", "local_start", "root").repartition("part").sortWithinPartitions("part", "local_start")
-        made = leaves.mapInArrow(roots, "part int, root binary")
-        totals = documents.groupBy("part").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return totals.join(made, "part").select("part", "first_doc", "n_docs", "n_tokens", "root")
+    def found(self) -> DataFrame:
+        """(part, n_docs, n_tokens, root) of the documents that are there; no root if a part's documents don't follow each other."""
+        leaves = self.read("document").select("part", "local_start", "n_tokens", "root")
+        dealt = leaves.repartitionByRange("part").sortWithinPartitions("part", "local_start")
+        return dealt.mapInArrow(_parts, "part int, n_docs long, n_tokens long, root binary")
 
     def starts(self) -> dict[int, int]:
-        """The ids before each range of documents: a number for each partition."""
-        totals = self.read("document").groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
+        """The ids before each range of documents, by the manifest: a number for each partition.  Fails if the manifest or the
+        documents found are not as written."""
+        wrong = "the store is not what its root says: "
+        told = self.read("manifest").select("part", "n_docs", "n_tokens", "root").orderBy("part").collect()
+        heads, parts = [r for r in told if r["part"] == HEAD], [r for r in told if r["part"] != HEAD]
+        whole = (sum(r["n_docs"] for r in parts), sum(r["n_tokens"] for r in parts), merkle_root([r["root"] for r in parts]))
+        if [tuple(r)[1:] for r in heads] != [whole]:
+            raise ValueError(wrong + "its manifest is lost or damaged")
+        expected, found = {r["part"]: tuple(r)[1:] for r in parts}, {r["part"]: tuple(r)[1:] for r in self.found().collect()}
+        for part in sorted(expected.keys() | found.keys()):
+            if expected.get(part) != found.get(part):
+                n = [x[:2] if x else (0, 0) for x in (expected.get(part), found.get(part))]
+                raise ValueError(wrong + f"part {part} was written with {n[0][0]} documents of {n[0][1]} ids, found are {n[1][0]} of {n[1][1]}, or others")
         out, before = {}, 0
-        for r in sorted(totals, key=lambda r: r["part"]):
-            out[r["part"]], before = before, before + r["n"]
+        for r in parts:
+            out[r["part"]], before = before, before + r["n_tokens"]
         return out
 
     def read_documents(self, with_ids: bool = False) -> DataFrame:
@@ -244,18 +272,26 @@ class Store:
         return rows.mapInArrow(lambda batches: _rebuilt(batches, first.value, with_ids), schema)
 
 
-def _by_part(batches):
-    """The rows of each part, which follow each other."""
-    key, rows = None, []
+def _parts(batches):
+    """The documents of each part, which follow each other in their order, in sum."""
+    schema = pa.schema([("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
+    key, total, whole, roots = None, 0, True, []
+
+    def told():
+        row = {"part": key, "n_docs": len(roots), "n_tokens": total, "root": merkle_root(roots) if whole else None}
+        return pa.RecordBatch.from_pylist([row], schema=schema)
+
     for batch in batches:
-        for r in batch.to_pylist():
-            if r["part"] != key and rows:
-                yield key, rows
-                rows = []
-            key = r["part"]
-            rows.append(r)
-    if rows:
-        yield key, rows
+        for part, start, n, root in zip(*(batch.column(c).to_pylist() for c in ("part", "local_start", "n_tokens", "root")), strict=True):
+            if part != key:
+                if roots:
+                    yield told()
+                key, total, whole, roots = part, 0, True, []
+            whole = whole and start == total
+            total += n
+            roots.append(root)
+    if roots:
+        yield told()
 
 
 def _rebuilt(batches, first, with_ids):
@@ -283,10 +319,9 @@ def _rebuilt(batches, first, with_ids):
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
 
 
-def _ranges(spark: SparkSession, done: DataFrame) -> int:
-    """As many ranges as the session's shuffles have partitions, or as the ids need to be of at most 128 MB."""
-    total = done.agg(F.sum(F.col("n_tokens") * F.col("width"))).first()[0] or 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (128 << 20)))
+def _ranges(spark: SparkSession, size: int) -> int:
+    """As many ranges as the session's shuffles have partitions, or as ids of so many bytes need to be of at most 128 MB."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (128 << 20)))
 
 
 def op4_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,25 @@ def test_store_sees_damage(spark, tmp_path, docs):
         store.Store(spark, f"file://{tmp_path}/b").read_documents().collect()
 
 
+@pytest.mark.parametrize("lost", ["file", "row", "place", "manifest", "head"])
+def test_store_sees_what_is_lost(spark, tmp_path, docs, lost):
+    made = store.Store.write(docs, f"file://{tmp_path}/a")
+    part = max(r["part"] for r in made.manifest().collect())
+    rows = made.read("document")
+    least = rows.agg(F.min("doc_id")).first()[0]
+    rows = {
+        "file": rows.filter(F.col("part") != part),
+        "row": rows.filter(F.col("doc_id") != least),
+        "place": rows.withColumn("local_start", F.col("local_start") + F.when(F.col("doc_id") == least, 1).otherwise(0)),
+    }.get(lost, rows)
+    told = made.read("manifest").filter(F.col("part") != {"manifest": part, "head": store.HEAD}.get(lost, -2))
+    kinds = {"document": rows, "chunk": made.read("chunk"), "manifest": told}
+    for kind, df in kinds.items():
+        df.withColumn("kind", F.lit(kind)).write.mode("append").partitionBy("kind").parquet(f"file://{tmp_path}/b")
+    with pytest.raises(ValueError, match="the store is not what its root says"):
+        store.Store(spark, f"file://{tmp_path}/b").read_documents()
+
+
 def test_chunks_follow_content():
     r = np.random.default_rng(0)
     a = r.integers(0, 40000, 20000).astype(np.uint16)
