@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking
-from .base import query, table
+from .base import ORACLE_SQL, query, table
 
 SIZE, OVERLAP = 1200, 150
 #: Chunks of documents in SQL.  The tables' texts have no blank lines, so a text is one paragraph.
@@ -51,12 +51,22 @@ def t01(spark, sf_dir):
     """,
 )
 def t02(spark, sf_dir):
+    return page_chunks(spark, sf_dir, 2000)
+
+
+def page_chunks(spark, sf_dir, cap: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pages = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("page"), x.alias("text")))
-    out = chunking.chunk_pages(docs.select("doc_id", pages.alias("pages")), size=300, overlap=50, cap=2000)
+    out = chunking.chunk_pages(docs.select("doc_id", pages.alias("pages")), size=300, overlap=50, cap=cap)
     return out.select("doc_id", "ordinal", "page", F.sha2("text", 256).alias("text_hash"))
 
 
+@query("t02_page_chunks_whole", ORACLE_SQL["t02_w04_page_chunks"].replace(" WHERE before < 2000", ""))
+def t02_whole(spark, sf_dir):
+    """Every chunk of every text; t02_w04_page_chunks keeps those before its cap."""
+    return page_chunks(spark, sf_dir, 0)
+
+
 @query("t03_unnest", "SELECT p_partkey AS doc_id, unnest(string_split(p_name, ' ')) AS word, CAST(generate_subscripts(string_split(p_name, ' '), 1) AS INTEGER) AS position FROM part")
 def t03(spark, sf_dir):
     from ..operators.graph import exploded

@@ -44,6 +44,23 @@ def test_page_chunks_stop_at_the_cap(spark):
     assert [(r["chunk_id"], r["page"], r["text"]) for r in got] == [("1:0", 1, "aaaaa"), ("1:1", 2, "bbbbb")]
 
 
+def test_whole_texts_are_chunked(spark, tmp_path):
+    import hashlib
+
+    from fathomline.plans import registry
+
+    lines = ["first " * 20, "", "b" * 700, *(f"line {i} " * 30 for i in range(40)), "the end"]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, "short"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = []
+    for page, line in enumerate(lines, 1):
+        line = line.strip()
+        cut = [line[i : i + 300] for i in range(0, len(line), 250)] if len(line) > 300 else [line] if line else []
+        expected += [(page, c if not i else cut[i - 1][-50:] + " " + c) for i, c in enumerate(cut)]
+    expected = [(1, n, page, hashlib.sha256(c.encode()).hexdigest()) for n, (page, c) in enumerate(expected)]
+    got = registry.QUERIES["t02_page_chunks_whole"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [*expected, (2, 0, 1, hashlib.sha256(b"short").hexdigest())]
+
+
 def test_transcript(spark):
     told = [(0.0, "x" * 200), (10.0, " " + "y" * 200), (20.0, "z" * 50), (30.0, " ")]
     df = spark.createDataFrame([(told,)], "s array<struct<start: double, text: string>>")
