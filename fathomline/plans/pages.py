@@ -9,7 +9,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..operators import rules
 from ..sources import lists, web
-from .base import query, table
+from .base import ORACLE_SQL, query, table
 
 HREF_SQL = """
 pg AS (SELECT page_id, url, regexp_extract(url, '^([^#?]*)', 1) AS base, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, html FROM pages),
@@ -192,10 +192,20 @@ def s20(spark, sf_dir):
 
 @query("k08_assembled", "SELECT lang AS source, count(*) AS n_pages, sha256('# ' || chr(10) || string_agg('<!-- source: u' || doc_id || ' -->' || chr(10) || chr(10) || '# t' || doc_id || chr(10) || chr(10) || substr(text, 1, 40), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS text FROM documents GROUP BY lang")
 def k08(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("pos"), F.concat(F.lit("u"), "doc_id").alias("url"), F.concat(F.lit("t"), "doc_id").alias("title"), F.substring("text", 1, 40).alias("markdown"))
+    return joined_pages(spark, sf_dir, F.substring("text", 1, 40))
+
+
+def joined_pages(spark, sf_dir, body) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("pos"), F.concat(F.lit("u"), "doc_id").alias("url"), F.concat(F.lit("t"), "doc_id").alias("title"), body.alias("markdown"))
     return web.assembled(pages, "lang", F.lit("# \n")).withColumn("text", F.sha2("text", 256))
 
 
+@query("k08_assembled_whole", ORACLE_SQL["k08_assembled"].replace("substr(text, 1, 40)", "text"))
+def k08_whole(spark, sf_dir):
+    """With whole texts as the pages' bodies."""
+    return joined_pages(spark, sf_dir, F.col("text"))
+
+
 @query(
     "s07_notebook_reader",
     """

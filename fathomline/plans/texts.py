@@ -118,6 +118,12 @@ def f01(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.norm_name(F.substring("text", 1, 200)).alias("norm"))
 
 
+@query("f01_norm_name_whole", None)
+def f01_whole(spark, sf_dir):
+    """Of whole texts; null texts are empty.  DuckDB has no NFKD, so there is no SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.norm_name("text"), 256).alias("norm_hash"))
+
+
 @query(
     "f02_norm_term",
     """
@@ -129,6 +135,12 @@ def f02(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.norm_term(F.substring("text", 1, 200)).alias("norm"))
 
 
+@query("f02_norm_term_whole", None)
+def f02_whole(spark, sf_dir):
+    """Of whole texts; null texts are empty.  DuckDB has no NFKD, so there is no SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.norm_term("text"), 256).alias("norm_hash"))
+
+
 GENERIC_SQL = T.GENERIC_TITLE.removeprefix("(?i)").replace("'", "''")
 
 

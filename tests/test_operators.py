@@ -61,6 +61,31 @@ def test_whole_texts_are_chunked(spark, tmp_path):
     assert sorted(map(tuple, got)) == [*expected, (2, 0, 1, hashlib.sha256(b"short").hexdigest())]
 
 
+def test_whole_texts_reach_the_operators(spark, tmp_path):
+    import hashlib
+    import re
+    import unicodedata
+
+    from fathomline.plans import registry
+
+    authors = "Ann Lee, Bo Yi, Cy Po, Di Fu, Ed Ng, Flo Marchand, Gustav Holm, Hanna Berg"
+    texts = {1: "Ünï, ½ (Ærø) ﬁn.\n" * 100 + "the Ende-x_y.", 2: authors, 3: None, 4: "short"}
+    spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def norm(text, signs, by):
+        s = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode("ascii")
+        return re.sub(r"\s+", " ", re.sub(signs, by, s).lower()).strip()
+
+    assert dict(run("f01_norm_name_whole").collect()) == {i: sha(norm(t, r"[^\w\s.-]", "")) for i, t in texts.items()}
+    assert dict(run("f02_norm_term_whole").collect()) == {i: sha(norm(t, r"[^\w\s-]", " ")) for i, t in texts.items()}
+    assert dict(run("f17_author_lines").collect())[2] == authors.replace(", ", "|")
+    parts = [f"<!-- source: u{i} -->\n\n# t{i}\n\n{t}" for i, t in texts.items() if t is not None]
+    got = run("k08_assembled_whole").first()
+    assert (got["n_pages"], got["text"]) == (4, sha("# \n" + "\n\n---\n\n".join(parts)))
+
+
 def test_transcript(spark):
     told = [(0.0, "x" * 200), (10.0, " " + "y" * 200), (20.0, "z" * 50), (30.0, " ")]
     df = spark.createDataFrame([(told,)], "s array<struct<start: double, text: string>>")
