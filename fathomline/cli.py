@@ -33,15 +33,16 @@ class Library:
         return self.read(name)
 
 
-def index(lib: Library, root: str, roots: list[str], embedder, internal: str, limit: int | None = None, reset: bool = False) -> DataFrame:
-    """Brings documents and chunks up to date with the files; returns (outcome, n)."""
+def index(lib: Library, root: str, roots: list[str], embedder, internal: str, limit: int | None = None, reset: bool = False, cap: int = 0) -> DataFrame:
+    """Brings documents and chunks up to date with the files; returns (outcome, n).  A document's chunks stop at `cap`
+    characters (0: no cap)."""
     listing = files.list_files(lib.spark, root)
     inside = F.lit(False)
     for name in roots:
         inside = inside | F.contains("path", F.lit(f"/{ROOTS[name]}/"))
     listing = listing.filter(inside)
     listing = listing.orderBy("path").limit(limit) if limit else listing
-    found = files.documents(listing, root, internal)
+    found = files.documents(listing, root, internal, cap)
     old = None if reset else lib.read("documents")
     fresh = found
     if old is not None:
@@ -50,7 +51,7 @@ def index(lib: Library, root: str, roots: list[str], embedder, internal: str, li
         todo = tables.changed(known, same.withColumnsRenamed({"_s": "size", "_m": "mtime"}))
         fresh = found.join(todo.select("path"), "path", "left_semi")
     fresh = lib.write("staged", fresh)
-    pieces = chunking.chunk_pages(fresh).withColumn("text_hash", F.sha2("text", 256))
+    pieces = chunking.chunk_pages(fresh, cap=cap).withColumn("text_hash", F.sha2("text", 256))
     cache = lib.read("embedding_cache") if not reset else None
     if cache is None:
         cache = lib.spark.createDataFrame([], "model string, text_hash string, embedding array<double>")
@@ -97,6 +98,7 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--roots", nargs="+", choices=sorted(ROOTS), default=["literature", "transcripts", "outbox"])
     i.add_argument("--limit", type=int)
     i.add_argument("--reset", action="store_true")
+    i.add_argument("--max-chars", type=int, default=0, help="characters of a document that are indexed, about (0: all)")
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("-k", type=int, default=10)
@@ -122,7 +124,7 @@ def main(argv: list[str] | None = None) -> None:
     lib, embedder = Library(spark, a.index), HashEmbedder()
     normal = lambda name: spark.range(1).select(norm_name(F.lit(name)).alias("n")).first()["n"]
     if a.command == "index":
-        out = [index(lib, a.root, a.roots, embedder, a.internal, a.limit, a.reset)]
+        out = [index(lib, a.root, a.roots, embedder, a.internal, a.limit, a.reset, a.max_chars)]
     elif a.command == "search":
         out = [find(lib, a.query, embedder, a.k, a.expand, True if a.internal_only else False if a.external_only else None)]
     elif a.command == "stats":

@@ -38,7 +38,7 @@ def chunk_array(text: Column | str, size: int = SIZE, overlap: int = OVERLAP) ->
     return let(chunks, lambda out: F.transform(out, lambda c, i: F.when(i == 0, c).otherwise(F.concat(tail(F.get(out, i - 1)), F.lit(" "), c))))
 
 
-def chunk_pages(docs: DataFrame, pages: str = "pages", size: int = SIZE, overlap: int = OVERLAP, cap: int = 400_000) -> DataFrame:
+def chunk_pages(docs: DataFrame, pages: str = "pages", size: int = SIZE, overlap: int = OVERLAP, cap: int = 0) -> DataFrame:
     """chunk_id, doc_id, ordinal, page, text of documents with an array of struct(page, text).
 
     Ordinals run on across pages and overlaps don't.  A chunk is kept while those before it in the document have fewer

@@ -24,3 +24,20 @@ def test_library(spark, tmp_path):
     cli.find(lib, "red cats", embedder, 5, True, None).collect()
     total, topics = cli.stats(lib)
     assert total.first()["documents"] == 3 and topics.count() == 2
+
+
+def test_long_texts_are_indexed_whole(spark, tmp_path):
+    root = tmp_path / "lib"
+    (root / "Outbox").mkdir(parents=True)
+    (root / "Outbox/book.txt").write_text("word " * 100_000 + "zebra")
+    embedder = HashEmbedder(8)
+
+    def indexed(name, *options):
+        a = cli.parser().parse_args(["--index", f"file://{tmp_path}/{name}", "index", f"file:{root}", *options])
+        lib = cli.Library(spark, a.index)
+        cli.index(lib, a.root, ["outbox"], embedder, a.internal, a.limit, a.reset, a.max_chars)
+        return lib.read("chunks")
+
+    assert indexed("all").filter("text like '%zebra'").count() == 1
+    some = indexed("some", "--max-chars", "5000")
+    assert some.filter("text like '%zebra'").count() == 0 and 4 <= some.count() <= 5

@@ -143,3 +143,13 @@ def test_event_counts_stream(spark, tmp_path):
 def test_video_kinds(spark):
     df = spark.createDataFrame([("https://youtu.be/0DY543P6BzA",), ("https://www.youtube.com/playlist?list=PL1",), ("https://www.youtube.com/@c/videos",), ("a query",)], "u string")
     assert [r["k"] for r in df.select(rules.video_kind("u").alias("k")).collect()] == ["video", "playlist", "channel", "query"]
+
+
+def test_pdf_pages_are_read_whole(monkeypatch):
+    import sys
+    from types import SimpleNamespace
+
+    pages = [SimpleNamespace(extract_text=lambda i=i: f"{i} " + "x" * 100_000) for i in range(9)]
+    monkeypatch.setitem(sys.modules, "pypdf", SimpleNamespace(PdfReader=lambda data: SimpleNamespace(pages=pages, metadata=None)))
+    assert len(files.read_document("a.pdf", b"")["pages"]) == 9
+    assert len(files.read_document("a.pdf", b"", 100_000)["pages"]) == 2
