@@ -87,6 +87,12 @@ def f27(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter(~raw.contains("&")).select("page_id", T.clean(raw).alias("raw"))
 
 
+@query("f27_title_all", None)
+def f27_all(spark, sf_dir):
+    """Every title, entities as characters.  DuckDB doesn't know them, so there is no SQL."""
+    return table(spark, sf_dir, "pages").select("page_id", T.clean(T.strip_tags(F.regexp_extract("html", "<title>([^<]*)", 1))).alias("title"))
+
+
 @query("f25_f26_f27_markdown", None)
 def f25(spark, sf_dir):
     made = web.markdown_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), least=0)
@@ -103,6 +109,12 @@ def f28(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.strip_tags(F.replace("html", F.lit("&"), F.lit("+"))), 256).alias("bare"))
 
 
+@query("f28_strip_tags_all", None)
+def f28_all(spark, sf_dir):
+    """With its entities as characters."""
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.strip_tags("html"), 256).alias("bare"))
+
+
 @query(
     "f19_video_urls",
     """

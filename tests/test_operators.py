@@ -86,6 +86,46 @@ def test_whole_texts_reach_the_operators(spark, tmp_path):
     assert (got["n_pages"], got["text"]) == (4, sha("# \n" + "\n\n---\n\n".join(parts)))
 
 
+def test_all_rows_reach_the_operators(spark, tmp_path):
+    import hashlib
+    import html
+    import re
+
+    from fathomline.plans import registry
+
+    texts = [("en", "so The And, now"), ("fr", "é the and é"), ("de", "äthe and"), ("es", "Mention: onan"), ("es", "mention onanä"), ("fr", "the and-"), ("de", None)]
+    spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [f"<html><title> {t}\n x</title><p a='b'>{t} <b>c</b>&copy;</p>" for t in ("A &amp; B", "plain", "&lt;i&gt; &eacute;", "R&D")]
+    spark.createDataFrame(list(enumerate(pages)), "page_id int, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    orders = [(o, o * 11 % 40, n) for o in range(1, 80) if o % 5 for n in (1, 2)]
+    spark.createDataFrame(orders, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+
+    def internal(text):
+        hay = f"a.pdf {text or ''}".lower()
+        has = lambda term: re.search(rf"(?<![\w-]){term}(?![\w-])", hay) is not None
+        return has("the and") or "ention" in hay and has("onan")
+
+    expected = {i: internal(t) for i, (_, t) in enumerate(texts)}
+    assert dict(run("f16_internal_files_all")) == expected and set(expected.values()) == {True, False}
+    title = lambda p: " ".join(html.unescape(re.search("<title>([^<]*)", p)[1]).split())
+    assert dict(run("f27_title_all")) == {i: title(p) for i, p in enumerate(pages)}
+    bare = lambda p: hashlib.sha256(html.unescape(re.sub("<[^>]+>", " ", p)).encode()).hexdigest()
+    assert dict(run("f28_strip_tags_all")) == {i: bare(p) for i, p in enumerate(pages)}
+
+    expected = set()
+    for volume in {o // 8 for o, _, _ in orders}:
+        marks = sorted((o % 8 * 18 + s % 32 + 1, o) for o, s, n in orders if n == 1 and o // 8 == volume)
+        if len(marks) < 4:
+            continue
+        marks = [m for i, m in enumerate(marks) if not i or m[0] > marks[i - 1][0]]
+        ends = [m[0] - 1 for m in marks[1:]] + [150]
+        sane = [5 <= e - m[0] + 1 <= 80 for m, e in zip(marks, ends, strict=True)]
+        if sum(sane) >= 0.8 * len(sane):
+            expected |= {(volume, f"Paper {o}", page, e) for (page, o), e, ok in zip(marks, ends, sane, strict=True) if ok}
+    assert set(map(tuple, run("t04_paper_ranges_all"))) == expected and expected
+
+
 def test_transcript(spark):
     told = [(0.0, "x" * 200), (10.0, " " + "y" * 200), (20.0, "z" * 50), (30.0, " ")]
     df = spark.createDataFrame([(told,)], "s array<struct<start: double, text: string>>")
