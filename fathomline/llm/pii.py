@@ -8,6 +8,10 @@ The network works on a product a * b: a number is split into (left, right) in Z_
 a keyed SHA-256 of one half to the other, modulo its size.  That is a permutation for any a and b, so no cycle walking
 is needed: digits split 10^u * 10^v, addresses 2^16 * 2^16, dates 189 * 773 (the 146,097 days of 1800 to 2199).
 
+A match of several tokens may take one too many, or start one too early.  settled() therefore cuts the text behind the
+form that is valid (an IBAN of its country's length, else the longest), or before the next start if none is, and the rest
+is searched anew; where overlapping forms are valid, the one that starts first is taken.  Slash dates are dd/MM, or MM/dd if they can't be that; those are permuted among themselves.
+
 All of it is DataFrame expressions.  A null text counts as empty and comes back null.  Repeated rows, null doc_ids and
 other columns pass through unchanged.
 """
@@ -33,7 +37,7 @@ PATTERNS: dict[str, str] = {
     r"|(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}(?:\x22[^\x22\s]{6,}\x22|'[^'\s]{6,}'|[^\s\x22',;]{6,})",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![A-Za-z0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?)(?![A-Za-z0-9]|[.-][0-9])",
+    "card": r"(?<![A-Za-z0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![A-Za-z0-9]|[.-][0-9])",
     "phone": r"(?<![A-Za-z0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|[.-][0-9])",
@@ -41,6 +45,14 @@ PATTERNS: dict[str, str] = {
     "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+#: How the first token of an IBAN or of a card in groups begins.
+STARTS = r"[A-Z]{2}[0-9]{2}|[0-9]{4}[ -]"
+#: Characters of an IBAN by country.
+_LENGTHS = (
+    "NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 "
+    "AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 LY25 PT25 ST25 IS26 TR26 BI27 DJ27 FR27 GR27 IT27 MC27 MR27 SM27 "
+    "AL28 AZ28 BY28 CY28 DO28 GT28 HN28 HU28 LB28 NI28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33"
+)
 _LAYOUTS = {r"^[0-9]{4}-": "yyyy-MM-dd", r"^[0-9]{2}/": "dd/MM/yyyy", r"^[0-9]{2}\.": "dd.MM.yyyy"}
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -169,6 +181,21 @@ def _iban(m: Column, key: str) -> Column:
     return _let(F.regexp_replace(m, " ", ""), account)
 
 
+def _late(n: Column, key: str) -> Column:
+    """A date of a day after the 12th, by its number of days since FIRST_DAY, to another such date; there are 9 * 9833.
+
+    Twelve days of each month aren't counted, so month k begins at its first day's number - 12 * k.  Months have 16 to 19
+    days that count, and none begins farther than one month from where it would if all had as many."""
+    first = F.to_date(F.lit(FIRST_DAY))
+    a, b = F.lit(9).cast("long"), F.lit(9833).cast("long")
+    place = _let(F.date_add(first, n.cast("int")), lambda d: n - 12 * ((F.year(d) - F.year(first)) * 12 + F.month(d)))
+    begins = lambda k: F.date_diff(F.add_months(first, k), first) - 12 * k
+    about = lambda r: _div(r * 4800, 9 * 9833).cast("int")
+    month = lambda r: F.array_max(F.filter(F.sequence(F.greatest(about(r) - 1, F.lit(0)), about(r) + 1), lambda k: begins(k) <= r))
+    moved = _let(place, lambda x: feistel(x.cast("long"), a, b, F.lit("date/late"), key))
+    return _let(moved, lambda r: F.date_add(first, (r + 12 * (month(r) + 1)).cast("int")))
+
+
 def _date(m: Column, key: str) -> Column:
     out = F.lit(None).cast("string")
     first = F.to_date(F.lit(FIRST_DAY))
@@ -177,7 +204,10 @@ def _date(m: Column, key: str) -> Column:
         day = F.date_diff(F.try_to_timestamp(m, F.lit(layout)).cast("date"), first)
         moved = lambda n: F.date_format(F.date_add(first, feistel(n.cast("long"), F.lit(DAYS[0]).cast("long"), F.lit(DAYS[1]).cast("long"), F.lit("date"), key).cast("int")), layout)  # noqa: B023, E731
         out = F.when(m.rlike(pattern), _let(day, lambda n: F.when(n.between(0, total - 1), moved(n)))).otherwise(out)  # noqa: B023
-    return out
+    other = "MM/dd/yyyy"
+    late = F.date_diff(F.try_to_timestamp(m, F.lit(other)).cast("date"), first)
+    turned = _let(late, lambda n: F.when(n.between(0, total - 1), F.date_format(_late(n, key), other)))
+    return F.when(m.rlike("^[0-9]{2}/(?:1[3-9]|[23][0-9])/"), turned).otherwise(out)
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -212,15 +242,74 @@ def _one(m: Column, key: str) -> Column:
     return out
 
 
+def _valid(kind: str, m: Column) -> Column:
+    if kind == "card":
+        return _let(_only(m, "0-9"), lambda d: _luhn(d, 0) % 10 == 0)
+    return _let(F.regexp_replace(m, " ", ""), lambda s: _mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1)
+
+
+def _until(kind: str, m: Column) -> Column:
+    """How many characters of a match of several tokens to keep before the text is searched anew; all: null."""
+    full = f"^(?:{PATTERNS[kind]})$"
+    size = lambda tokens, k: F.aggregate(F.slice(tokens, 1, k), F.lit(-1), lambda n, t: n + F.length(t) + 1)
+
+    def cut(tokens: Column) -> Column:
+        forms = F.transform(F.sequence(F.size(tokens), F.lit(1), F.lit(-1)), lambda k: F.substr(m, F.lit(1), size(tokens, k)))
+        if kind == "iban":
+            bare = lambda x: F.length(F.regexp_replace(x, " ", "")).cast("string")
+            own = _let(forms, lambda all_: F.concat(F.filter(all_, lambda x: F.contains(F.lit(_LENGTHS), F.concat(F.substring(x, 1, 2), bare(x)))), all_))
+            starts = F.filter(F.sequence(F.lit(1), F.size(tokens) - 1), lambda k: F.get(tokens, k).rlike("^[A-Z]{2}[0-9]{2}"))
+            none = _let(F.get(starts, F.lit(0)), lambda k: F.when(k.isNotNull(), size(tokens, k)))
+        else:
+            own, none = forms, size(tokens, F.lit(1))
+        first = F.get(F.filter(own, lambda x: F.when(x.rlike(full), _valid(kind, x)).otherwise(F.lit(False))), F.lit(0))
+        return _let(first, lambda x: F.when(x.isNull(), none).when(F.length(x) < F.length(m), F.length(x)))
+
+    return _let(F.split(m, "[ -]"), lambda tokens: F.when(F.size(tokens) > 1, cut(tokens)))
+
+
+def _first_cut(text: Column) -> Column:
+    """Where the text has to be cut first, if anywhere."""
+    pairs = F.zip_with(F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+    which = lambda m: F.when(m.rlike(f"^(?:{PATTERNS['iban']})$"), _until("iban", m)).when(m.rlike(f"^(?:{PATTERNS['card']})$"), _until("card", m))
+    # Secrets and e-mail addresses come before both.
+    until = lambda m: F.when(~m.rlike(f"^(?:{PATTERNS['secret']}|{PATTERNS['email']})$"), which(m))
+
+    def step(s: Column, p: Column) -> Column:
+        at = s["at"] + F.length(p["gap"])
+        return F.when(s["cut"].isNotNull(), s).otherwise(F.struct((at + F.coalesce(F.length(p["m"]), F.lit(0))).alias("at"), (at + until(p["m"])).alias("cut")))
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("cut")), step, lambda s: s["cut"])
+
+
+def settled(text: Column) -> Column:
+    """The text in pieces in each of which a match takes no token too many.  A cut passes one of STARTS at least."""
+
+    def step(s: Column, _: Column) -> Column:
+        def go(c: Column) -> Column:
+            rest = F.substr(s["rest"], c + 1, F.length(s["rest"]))
+            return F.struct(F.concat(s["pieces"], F.array(F.when(c.isNull(), s["rest"]).otherwise(F.substr(s["rest"], F.lit(1), c)))).alias("pieces"), F.when(c.isNotNull(), rest).alias("rest"))
+
+        return F.when(s["rest"].isNull(), s).otherwise(_let(_first_cut(s["rest"]), go))
+
+    steps = F.size(F.regexp_extract_all(text, F.lit(f"({STARTS})"), F.lit(1)))
+    start = F.struct(F.array().cast("array<string>").alias("pieces"), F.when(F.lit(True), text).alias("rest"))
+    last = lambda s: F.when(s["rest"].isNull(), s["pieces"]).otherwise(F.concat(s["pieces"], F.array(s["rest"])))
+    some = text.rlike(f"{PATTERNS['iban']}|{PATTERNS['card']}")
+    return F.when(some & (steps > 0), F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, step, last)).otherwise(F.array(text))
+
+
 def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text", kinds_col: str = "pii") -> DataFrame:
     """docs with the text replaced, and a column of the kinds found in their order (an empty array: none), which takes the
     place of one of that name."""
     text = F.col(f"`{text_col}`")
     some = F.coalesce(text.rlike(ANY), F.lit(False))
-    df = docs.withColumn(FOUND, F.when(some, F.transform(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), lambda m: F.struct(m.alias("m"), _one(m, key).alias("p")))))
-    new = F.transform(FOUND, lambda x: F.coalesce(x["p"]["new"], x["m"]))
-    whole = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    kinds = F.transform(F.filter(FOUND, lambda x: x["p"]["new"].isNotNull()), lambda x: x["p"]["kind"])
+    pairs = lambda x: F.transform(F.regexp_extract_all(x, F.lit(f"({ANY})"), F.lit(1)), lambda m: F.struct(m.alias("m"), _one(m, key).alias("p")))
+    df = docs.withColumn(FOUND, F.when(some, F.transform(settled(text), lambda x: F.struct(F.split(x, ANY, -1).alias("gaps"), pairs(x).alias("found")))))
+    new = lambda x: F.transform(x["found"], lambda y: F.coalesce(y["p"]["new"], y["m"]))
+    put = lambda x: F.array_join(F.flatten(F.zip_with(x["gaps"], new(x), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    whole = F.array_join(F.transform(FOUND, put), "")
+    kinds = F.transform(F.filter(F.flatten(F.transform(FOUND, lambda x: x["found"])), lambda y: y["p"]["new"].isNotNull()), lambda y: y["p"]["kind"])
     return df.withColumns({text_col: F.when(F.col(FOUND).isNotNull(), whole).otherwise(text), kinds_col: F.coalesce(kinds, F.array().cast("array<string>"))}).drop(FOUND)
 
 

@@ -470,6 +470,38 @@ def test_pseudonyms_keep_their_format(spark):
             assert int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+@pytest.mark.parametrize("case", [
+    ("", "ES91 2100 0418 4502 0005 1332", " BIC", "iban"), ("", "ES9121000418450200051332", " 2024", "iban"), ("", "BE68 5390 0754 7034", " BICCODE", "iban"),
+    ("AB12 ", "ES91 2100 0418 4502 0005 1332", " 2100", "iban"), ("", "4349 0004 9098 6231", " 123", "card"), ("", "4349 0004 9098 6231", " 12 Euro", "card"),
+    ("", "4349-0004-9098-6231", "-123", "card"), ("2023 ", "4349 0004 9098 6231", "", "card"), ("2024 2025 2026 ", "4349 0004 9098 6231", " 12", "card"), ("", "3782 822463 10005", "", "card"),
+    ("", "3782-822463-10005", " 1", "card"), ("", "12/31/1999", "", "date"),
+], ids=lambda c: c[1] + c[2])
+def test_valid_values_next_to_other_tokens(spark, case):
+    before, old, after, kind = case
+    (new, kinds), (alone, _) = pseudonym(spark, [before + old + after, old])
+    assert kinds == [kind] and alone != old and new == before + alone + after
+
+
+def test_search_goes_on_behind_a_value(spark):
+    iban, card = "ES9121000418450200051332", "4349 0004 9098 6231"
+    values = [f"{iban} 2024-01-02", f"{card} 12/31/1999", f"{card} 555 123 4567", f"{card} 123-45-6789", f"{iban} {card} 12 {iban} 2024 {card} 123", f"x\n{card} 123 {card}"]
+    got = pseudonym(spark, values)
+    assert [k for _, k in got] == [["iban", "date"], ["card", "date"], ["card", "phone"], ["card", "ssn"], ["iban", "card", "iban", "card"], ["card", "card"]]
+    assert not any(v in new for v in (iban, card, "2024-01-02", "12/31/1999", "123 4567") for new, _ in got)
+    # What comes before cards and IBANs isn't cut.
+    (secret, kinds), = pseudonym(spark, ["password=4349-0004-9098-6231-123"])
+    assert kinds == ["secret"] and "6231" not in secret
+    stays = ["DE00 3704 0044 0532 0130 01 BIC", "4349 0004 9098 6232 123", "13/13/1999", "02/30/1999"]
+    assert pseudonym(spark, stays) == [(v, []) for v in stays]
+
+
+def test_month_first_dates_are_permuted_among_themselves(spark):
+    days = spark.range(146_097).select(F.date_format(F.date_add(F.to_date(F.lit(pii.FIRST_DAY)), F.col("id").cast("int")), "MM/dd/yyyy").alias("d")).filter(F.substring("d", 4, 2) > "12")
+    new = days.select("d", pii._date(F.col("d"), "k").alias("n")).cache()
+    assert new.select("n").distinct().count() == new.count() == 88_497
+    assert new.join(days.select(F.col("d").alias("n")), "n").count() == 88_497
+
+
 def test_what_is_no_personal_data_stays(spark):
     values = ["4349000490986232", "299.1.1.1", "version 2.0.", "30.02.1999", "2026", "a@b", "12345"]
     assert pseudonym(spark, values) == [(v, []) for v in values]
