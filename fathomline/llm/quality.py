@@ -1,32 +1,37 @@
 """Quality rules as a ledger of bits.
 
-Each rule is evaluated once for each document.  The ledger keeps the measurements and a bit for every failed rule, so
-policies are only masks over that ledger: a new version, or an ablation of each of its rules, costs one bitwise
-aggregation and no second look at a text.  All of it is DataFrame expressions.
+Each rule is evaluated once for each document.  The ledger, a narrow table that is written once, keeps the measurements
+and a bit for every failed rule, so policies are only masks over that table: a new version, or an ablation of each of its
+rules, costs one bitwise aggregation and no second look at a text.  All of it is DataFrame expressions.
 
 A null or empty text has no words, every measure is 0, and it fails `few_words`.  A null doc_id is kept as null.
-Repeated rows each get their own ledger row.  Other columns of the input are ignored, so their names can't clash.
+Repeated rows each get their own ledger row.  Other columns of the input are ignored, so their names can't clash.  An
+empty table has an empty ledger, whose ablation counts 0 for every rule.  A text is measured in its own task, in memory
+that grows with its words; Spark's limit of 2 GB a value bounds it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, documents
+from .common import SPACE, SPACES, documents, stage
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
-#: name: failed when.  A rule's bit is its place; new rules go to the end.
-RULES: dict[str, str] = {
-    "few_words": "n_words < 10",
-    "repeated_windows": "100 * n_repeat_words > 20 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
-    "symbols": "10 * n_symbols > n_words",
-    "word_length": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
+MEASURES = ("n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+#: name: whether a struct of measures fails it.  A rule's bit is its place; new rules go to the end.
+RULES: dict[str, Callable[[Column], Column]] = {
+    "few_words": lambda m: m["n_words"] < 10,
+    "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"],
+    "repeated_lines": lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"],
+    "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
+    "word_length": lambda m: (m["n_words"] > 0) & ((m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
 }
 
 
@@ -52,60 +57,83 @@ def bit(rule: str) -> int:
     return 1 << list(RULES).index(rule)
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with value computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _pairs(array: Column, f) -> Column:
     """f of each element and the next one; null after the last."""
     return F.zip_with(array, F.slice(array, F.lit(2), F.greatest(F.size(array) - 1, F.lit(0))), f)
 
 
-def measure(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """doc_id and the measures, one row for each row of docs; with `row`, also that column of docs as _row."""
-    get = lambda i, k: F.get(F.col("words"), i + k)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    carried = [] if row is None else ["_row"]
-    df = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        *([] if row is None else [row.alias("_row")]),
-        F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "").alias("words"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}")).alias("lines"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-    )
-    windows = F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*(get(i, k) for k in range(WINDOW))))
-    df = df.select(
-        "doc_id",
-        *carried,
-        "word_chars",
-        "n_symbols",
-        F.size("words").cast("long").alias("n_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("words") >= WINDOW, windows).alias("windows"),
-    )
-    # Only texts in which some window is found twice go through the sort.
-    df = df.withColumn("again", F.coalesce(F.size(F.array_distinct("windows")) < F.size("windows"), F.lit(False)))
-    df = df.withColumn("sorted", F.when(F.col("again"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    twice = F.flatten(_pairs(F.col("sorted"), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))))
-    df = df.withColumn("places", F.when(F.col("again"), F.sort_array(F.array_distinct(twice))))
-    covered = F.aggregate(
-        _pairs(F.col("places"), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda total, x: total + x
-    )
-    return df.select(
-        "doc_id", *carried, "n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", F.when(F.col("again"), covered).otherwise(0).cast("long").alias("n_repeat_words")
-    )
+def _covered(windows: Column) -> Column:
+    """Words in windows that are found twice or more.  Only texts with such a window go through the sorts."""
+
+    def places(ordered: Column) -> Column:
+        twice = _pairs(ordered, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
+        return F.sort_array(F.array_distinct(F.flatten(twice)))
+
+    def words(at: Column) -> Column:
+        return F.aggregate(_pairs(at, lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW))), F.lit(0), lambda total, x: total + x)
+
+    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _let(_let(ordered, places), words)).otherwise(0)
+
+
+def measures(text: Column) -> Column:
+    """struct of all measures of a text: one expression, in which each step is computed once."""
+    get = lambda words, i, k: F.get(words, i + k)
+
+    def of(x: Column) -> Column:
+        parts = F.struct(
+            F.filter(F.split(x, f"{SPACE}+"), lambda w: w != "").alias("words"),
+            F.filter(F.split(x, "\n"), lambda line: line.rlike(f"[^{SPACE[1:]}")).alias("lines"),
+        )
+        return _let(parts, lambda p: counted(x, p["words"], p["lines"]))
+
+    def counted(x: Column, words: Column, lines: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*(get(words, i, k) for k in range(WINDOW))))
+        found = {
+            "n_words": F.size(words),
+            "n_lines": F.size(lines),
+            "word_chars": F.length(F.translate(x, SPACES, "")),
+            "n_symbols": F.length(x) - F.length(F.translate(x, SYMBOLS, "")),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": F.when(F.size(words) > WINDOW, _let(windows, _covered)).otherwise(0),
+        }
+        return F.struct(*(c.cast("long").alias(name) for name, c in found.items()))
+
+    return _let(F.coalesce(text, F.lit("")), of)
+
+
+def judged(text: Column) -> Column:
+    """measures() with `failed`, the bits of the failed rules."""
+
+    def with_bits(m: Column) -> Column:
+        failed = F.lit(0).cast("long")
+        for rule, fails in RULES.items():
+            failed = failed.bitwiseOR(F.when(fails(m), F.lit(bit(rule))).otherwise(0).cast("long"))
+        return F.struct(*(m[name].alias(name) for name in MEASURES), failed.alias("failed"))
+
+    return _let(measures(text), with_bits)
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, the measures and `failed` of each row, as a written table: policies, ablations and filters on any column read
+    that, and no text is looked at again."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), judged(F.col("text")).alias("_j"))
+    return stage(rows.select("doc_id", "_j.*"), "quality-ledger")
 
 
-def ledger(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """The measures and `failed`, the bits of the failed rules."""
-    failed = F.lit(0).cast("long")
-    for rule, when in RULES.items():
-        failed = failed.bitwiseOR(F.when(F.expr(when), F.lit(bit(rule))).otherwise(0).cast("long"))
-    return measure(docs, row).withColumn("failed", failed)
+def _rejects(failed: Column, policy: Policy) -> Column:
+    return failed.bitwiseAND(F.lit(BASE.mask | policy.mask)) != 0
 
 
 def apply_policy(ledger: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """The ledger with the verdict of a policy, in which the base rules always count."""
-    failed = lambda p: F.col("failed").bitwiseAND(F.lit(p.mask)) != 0
-    return ledger.withColumn("base_failed", failed(BASE)).withColumn("kept", ~(failed(BASE) | failed(policy))).withColumn("policy", F.lit(policy.version))
+    failed = F.col("failed")
+    return ledger.withColumn("base_failed", failed.bitwiseAND(F.lit(BASE.mask)) != 0).withColumn("kept", ~_rejects(failed, policy)).withColumn("policy", F.lit(policy.version))
 
 
 def ablation(ledger: DataFrame, policy: Policy = POLICY) -> DataFrame:
@@ -124,13 +152,10 @@ def filter_documents(docs: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """Rows of docs that the policy keeps, all columns as they were.  Rows without a doc_id go: nothing later could name
     them.
 
-    A row is judged by its own text and carried along, so there is no join and no shuffle.  The verdict is combined with
-    a condition that always holds but isn't deterministic, which keeps the filter above the projection: pushed below it,
-    all measures would be evaluated again for each time the condition names them.
+    A row is judged by its own text, as the same bits that a ledger holds: a written ledger would have to be joined to the
+    texts again, which would shuffle them all.  The verdict is one expression, so it is evaluated once wherever it goes.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    judged = apply_policy(ledger(docs.filter("doc_id is not null"), row), policy).select("_row", (F.col("kept") & (F.monotonically_increasing_id() >= 0)).alias("kept"))
-    return judged.filter("kept").select("_row.*")
+    return docs.filter("doc_id is not null").filter(_let(judged(F.col("text")), lambda j: ~_rejects(j["failed"], policy)))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -541,8 +541,28 @@ def test_quality(docs):
         assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
 
 
+def test_a_filter_on_any_column_of_the_ledger_costs_no_more_than_the_ledger(spark):
+    import time
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    began = time.perf_counter()
+    every = {r["doc_id"]: r for r in quality.apply_policy(quality.ledger(docs)).collect()}
+    whole = time.perf_counter() - began
+    ledger = quality.apply_policy(quality.ledger(docs))
+    for c in (*quality.MEASURES, "failed", "base_failed", "kept"):
+        value = F.col(c).cast("int")
+        began = time.perf_counter()
+        got = {r["doc_id"] for r in ledger.filter((value > 5) | (value == 0)).collect()}
+        assert time.perf_counter() - began < whole + 5
+        assert got == {i for i, r in every.items() if int(r[c]) > 5 or int(r[c]) == 0}
+    began = time.perf_counter()
+    kept = quality.filter_documents(docs).filter("length(text) > 100").count()
+    assert time.perf_counter() - began < 2 * whole + 5
+    assert kept == docs.filter("length(text) > 100").filter(F.col("doc_id").isin([i for i, r in every.items() if r["kept"]])).count()
+
+
 def test_policies_and_ablation(docs):
-    ledger = quality.ledger(docs).cache()
+    ledger = quality.ledger(docs)
     rows = ledger.select("failed").collect()
     for policy in (quality.POLICY, quality.STRICT):
         out = {r["rule"]: r for r in quality.ablation(ledger, policy).collect()}
