@@ -1,7 +1,7 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Training uses at most SAMPLE labelled documents, the ones with the smallest hash of their id among those whose fold
-(crc32 of the id as text, modulo FOLDS) isn't HELD_OUT; near copies, which share their smallest shingle hash, count once.
+(crc32 of the id as text, modulo FOLDS) isn't HELD_OUT; near copies, which share their smallest shingle hash, count once, with the label of the most.
 From one part of them the lexicon is learned: words and word beginnings that toxic documents hold far more often, in any
 language.  The features of a text are lexicon densities, how close lexicon words are to a second person, and rates of
 capitals, punctuation and obfuscated words.  Trees are fitted to the first part, the calibration to the second.
@@ -11,11 +11,14 @@ calibration, all of bounded size, go to the executors, which score every row in
 
 A null or empty text has zero for all features and gets their score.  Repeated rows each get a row; a null doc_id is
 scored and belongs to no fold.  Without labelled documents of both kinds, every score is the share of toxic ones, 0 if
-there are none.  Other columns are ignored.
+there are none.  Other columns are ignored.  An empty table has no scores.  A long text is one slice of its own, in memory
+in proportion to it.  Nothing depends on the order or partitions of the rows: ties in the sample, the lexicon and the trees
+are settled by ids, spelling and the features' order, so the same rows give the same scores bit for bit.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from dataclasses import dataclass, field
@@ -31,26 +34,20 @@ from .common import documents, id_text, stage
 SAMPLE = 20_000
 FOLDS, HELD_OUT, CALIBRATION = 4, 2, 3
 CUTOFF = 0.3
-#: Terms of the lexicon: in at least LEAST_DOCS toxic documents, and LEAST_ODDS (logarithm) more often than in others.
-TERMS, LEAST_DOCS, LEAST_ODDS = 400, 3, 2.5
+#: Terms of the lexicon, of which the sample bounds the number: in at least LEAST_DOCS toxic documents and 0.2 % of them, and
+#: LEAST_ODDS (logarithm) more often than in others.
+LEAST_DOCS, LEAST_ODDS = 3, 2.5
 STEMS = (4, 5, 6)
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 80, 3, 0.15, 32, 5
 NEAR = 4
 #: Second-person pronouns of the four languages of the documents.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen tu te toi ton ta tes vous votre vos usted ustedes ti tus vosotros".split())
-#: Common insults, in the lexicon from the start with SEED_ODDS; what is learned is added to them.
-SEED_ODDS = 3.0
-SEED = frozenset(
-    "idiot idiots idiotic moron morons moronic stupid dumb dumbass fool imbecile loser losers clown trash garbage scum filth pathetic worthless "
-    "disgusting vile ugly jerk bastard bitch asshole crap shit fuck fucking retard whore slut coward creep vermin freak "
-    "dumm dummkopf trottel arschloch scheisse scheiße abschaum versager widerlich hure schwein "
-    "imbécile crétin connard connasse salaud salope ordure minable pute débile merde "
-    "idiota imbécil estúpido estúpida tonto tonta basura escoria asqueroso puta mierda cabrón inútil".split()
-)
 #: Figures and signs that stand for letters.
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 FEATURES = ("n_words", "hits", "density", "terms", "most", "odds", "near_second", "second", "capitals", "shouted", "exclamations", "punctuation", "obfuscated", "word_length")
 
+#: Words, in training as in scoring.
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^\W+|\W+$")
 _INNER = re.compile(r"[\W\d_]")
 
@@ -218,7 +215,11 @@ def _slice_features(data: np.ndarray, offsets: np.ndarray, lexicon: dict[str, fl
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(fold, toxic, text) of at most about `sample` labelled rows, staged; one for each smallest shingle hash."""
+    """(fold, toxic, text) of at most about `sample` labelled rows, staged; one for each smallest shingle hash.
+
+    Of near copies, the row with the smallest hash of its doc_id stands for all (then the smallest doc_id, then text), and is
+    toxic if half of them or more are; so the same rows come out whatever the partitions.  Texts without words have no
+    hash and each stand for themselves."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold()).filter(F.col("fold") != HELD_OUT)
     n = known.count()
@@ -228,35 +229,41 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     def smallest(batches):
         for batch in batches:
             out = np.zeros(len(batch), dtype=np.uint64)
+            some = np.zeros(len(batch), dtype=bool)
             for row, data, offsets in kernels.slices(batch.column("text")):
                 hashes, border = kernels.shingles(data, offsets)
                 full = np.flatnonzero(np.diff(border) > 0)
                 if len(full):
                     out[row + full] = np.minimum.reduceat(hashes, border[full])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", "toxic", "text")), pa.array(out.view(np.int64))], ["doc_id", "fold", "toxic", "text", "least"])
+                    some[row + full] = True
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fold", "toxic", "text")), pa.array(out.view(np.int64), mask=~some)], ["doc_id", "fold", "toxic", "text", "least"])
 
     joined = id_text(docs).join(known, "doc_id").select("doc_id", "fold", "toxic", "text")
     marked = joined.mapInArrow(smallest, "doc_id long, fold long, toxic int, text string, least long")
-    return stage(marked.dropDuplicates(["least"]).select("fold", "toxic", "text"), "toxicity-sample")
+    order = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "text")
+    alone = F.when(F.col("least").isNull(), F.col("doc_id"))
+    first = marked.groupBy("least", alone.alias("alone")).agg(F.min(F.struct(order.alias("order"), "fold")).alias("first"), (2 * F.sum("toxic") >= F.count("*")).cast("int").alias("toxic"))
+    return stage(first.select("first.fold", "toxic", "first.order.text"), "toxicity-sample")
 
 
 def _learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """The terms and their log odds, from document counts over the sample."""
+    """The terms and their log odds, from document counts over the sample, which bounds their number."""
 
     def count(batches):
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                for term in {t for w in set(text.split()) for t in terms_of(plain(w)[0])}:
+                for term in {t for w in set(_WORD.findall(text)) for t in terms_of(plain(w)[0])}:
                     seen.setdefault(term, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], ["term", "toxic", "clean"])
 
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     terms = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (n.get(0, 0) + 1))
     least = max(LEAST_DOCS, 0.002 * n.get(1, 0))
-    best = terms.withColumn("odds", odds).filter((F.col("toxic") >= least) & (F.col("odds") >= LEAST_ODDS))
-    return dict.fromkeys(SEED, SEED_ODDS) | {r["term"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(TERMS).collect()}
+    rate = lambda x, whole: (x + 0.5) / (whole + 1)
+    odds = lambda r: math.log(rate(r["toxic"], n.get(1, 0)) / rate(r["clean"], n.get(0, 0)))
+    found = {r["term"]: odds(r) for r in terms.filter(F.col("toxic") >= least).collect()}
+    return {term: found[term] for term in sorted(found) if found[term] >= LEAST_ODDS}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

@@ -411,6 +411,32 @@ def test_toxicity(spark):
     assert {i: x["score"] for i, x in by_id(toxicity.score_documents(docs, toxicity.fit(docs, swapped))).items()} == {i: x["score"] for i, x in got.items()}
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_toxicity_follows_from_the_rows_alone(spark, scale):
+    docs, known = (spark.read.parquet(f"/root/testdata/{scale}/{t}.parquet") for t in ("documents", "labels"))
+
+    def scored(n):
+        d, k = (df.repartition(n, F.xxhash64("doc_id", F.lit(n))) for df in (docs, known))
+        return {r["doc_id"]: (r["score"], r["held_out"], r["predicted"]) for r in toxicity.score_documents(d, toxicity.fit(d, k)).collect()}
+
+    whole = scored(1)
+    assert all(scored(n) == whole for n in (3, 13))
+    held = [(whole[r["doc_id"]][2], r["toxic"]) for r in known.collect() if whole[r["doc_id"]][1]]
+    caught = [p for p, t in held if t]
+    assert sum(caught) / len(caught) >= (0.85 if scale == "sf0.1" else 0.7)
+    assert sum(p for p, t in held if not t) <= 0.02 * len(held)
+
+
+def test_near_copies_with_different_labels_count_once(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = frame(spark, {0: text, 1: text, 3: text, 5: "", 6: None})
+    known = spark.createDataFrame([(0, 1), (1, 1), (3, 0), (5, 0), (6, 0)], "doc_id long, toxic int")
+    got = [(r["toxic"], r["text"]) for r in toxicity._sampled(docs, known, 100).collect()]
+    kept = {i for i in (0, 1, 3, 5, 6) if zlib.crc32(str(i).encode()) % 4 != 2}
+    of = [t for i, t in ((0, 1), (1, 1), (3, 0)) if i in kept]
+    assert sorted(got) == sorted([(int(2 * sum(of) >= len(of)), text)] * bool(of) + [(0, "")] * len(kept & {5, 6}))
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score_documents(docs, model).collect()} == {0.0}
