@@ -1,19 +1,20 @@
 """Document fingerprints: threshold-scaled sketches of shingle hashes.
 
-A sketch keeps every hash of a five-word shingle that is below a fixed fraction 1 / SCALE of the hash range.  Two
-sketches, whatever the sizes of their documents, are random samples of the same fraction, so they merge by union and
-estimate likeness (Jaccard) and containment.  As short documents would keep nothing, a sketch also keeps its LEAST
-smallest hashes, and states up to which hash it is complete (its reach); two sketches are compared up to the smaller
-reach of both, where they are complete.
+A sketch keeps every hash of a five-word shingle that is below a fixed fraction 1 / SCALE of the hash range, at every size.
+Two sketches, whatever the sizes of their documents, are random samples of the same fraction, so they merge by union and
+estimate likeness (Jaccard) and containment.  It also names the smallest hash of all.  Where two documents are so short that
+neither keeps any hash, likeness is whether their smallest are equal, which is as likely as they are alike.
 
-A document's fingerprint is the sketch as text: the reach and the hashes in order, in hexadecimal.  Equal texts have
+A document's fingerprint is the sketch as text: the smallest hash and those kept, in order, in hexadecimal.  Equal texts have
 equal fingerprints.  A text of one to four words is one shingle; one without words has none, the fingerprint "-", and
 likeness 1 to another such text and 0 to any other.
 
 All of it is DataFrame expressions.  The next document comes from a window over ranges of doc_id: each range also gets
-a copy of the first row of the range after it, so no task sees more than a range, and one sort of the texts is the only
-shuffle of them.  A null text is an empty one.  Repeated doc_ids follow each other in the order of their texts; null
-doc_ids come first.  Other columns are ignored.
+a copy of the first row of the range after it, so no task sees more than a range.  One sort of the texts is the only
+shuffle of them, and sketches are made behind it, once for each row.  A null text is an empty one.  Repeated doc_ids follow
+each other in the order of their texts, which also settles ties; null doc_ids come first.  Other columns are ignored.  An
+empty table has no fingerprints.  A text is sketched in its own task, in memory in proportion to its words; Spark's limit of
+2 GB a value bounds it.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, documents, id_text
 
 SHINGLE = 5
-SCALE = 8
-LEAST = 64
+SCALE = 2
 #: Hashes are 60 bits.
 RANGE = 1 << 60
 LIMIT = RANGE // SCALE
@@ -34,7 +34,7 @@ RANGE_ROWS, MOST_RANGES = 2_000, 10_000
 
 
 def sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: struct(reach, hashes) of the text column."""
+    """df with `out`: struct(least, hashes) of the text column."""
     words, made = f"_{out}_words", f"_{out}_hashes"
     df = df.withColumn(words, F.filter(F.split(F.lower(F.col(text)), f"{SPACE}+"), lambda w: w != ""))
     n = F.size(words)
@@ -42,62 +42,55 @@ def sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     many = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.shiftrightunsigned(F.xxhash64(*(get(i, k) for k in range(SHINGLE))), 4))
     few = F.array(F.shiftrightunsigned(F.xxhash64(F.col(words)), 4))
     df = df.withColumn(made, F.when(n >= SHINGLE, many).when(n > 0, few).otherwise(F.array().cast("array<long>")))
-    below = F.filter(made, lambda h: h < LIMIT)
-    df = df.withColumn(f"{made}_below", F.sort_array(F.array_distinct(below)))
-    # Only documents with too few hashes below the limit are sorted whole.
-    least = F.slice(F.sort_array(F.array_distinct(made)), 1, LEAST)
-    df = df.withColumn(f"{made}_least", F.when(F.size(f"{made}_below") < LEAST, least))
-    kept = F.coalesce(f"{made}_least", f"{made}_below")
-    reach = F.when(F.col(f"{made}_least").isNull(), F.lit(LIMIT)).when(F.size(f"{made}_least") < LEAST, F.lit(RANGE)).otherwise(
-        F.greatest(F.lit(LIMIT), F.element_at(f"{made}_least", -1) + 1)
-    )
-    return df.withColumn(out, F.struct(reach.cast("long").alias("reach"), kept.alias("hashes"))).drop(words, made, f"{made}_below", f"{made}_least")
-
-
-def _within(a: Column, b: Column) -> tuple[Column, Column]:
-    """The hashes of two sketches up to where both are complete."""
-    reach = F.least(a["reach"], b["reach"])
-    cut = lambda s: F.filter(s["hashes"], lambda h: h < reach)
-    return cut(a), cut(b)
+    kept = F.sort_array(F.array_distinct(F.filter(made, lambda h: h < LIMIT)))
+    return df.withColumn(out, F.struct(F.array_min(made).alias("least"), kept.alias("hashes"))).drop(words, made)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The estimated Jaccard similarity of the shingle sets of two sketches."""
-    x, y = _within(a, b)
-    union = F.size(F.array_union(x, y))
-    none = F.when((F.size(a["hashes"]) == 0) & (F.size(b["hashes"]) == 0), F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(union == 0, none).otherwise(F.size(F.array_intersect(x, y)) / union)
+    union = F.size(F.array_union(a["hashes"], b["hashes"]))
+    return F.when(union == 0, a["least"].eqNullSafe(b["least"]).cast("double")).otherwise(F.size(F.array_intersect(a["hashes"], b["hashes"])) / union)
 
 
 def containment(a: Column, b: Column) -> Column:
     """The estimated part of a's shingles that b has too, for documents of any two sizes; 1 if a has none."""
-    x, y = _within(a, b)
-    return F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))
+    none = (a["least"].isNull() | a["least"].eqNullSafe(b["least"])).cast("double")
+    return F.when(F.size(a["hashes"]) == 0, none).otherwise(F.size(F.array_intersect(a["hashes"], b["hashes"])) / F.size(a["hashes"]))
 
 
 def merge(a: Column, b: Column) -> Column:
     """The sketch of two documents' shingles together."""
-    x, y = _within(a, b)
-    return F.struct(F.least(a["reach"], b["reach"]).alias("reach"), F.sort_array(F.array_union(x, y)).alias("hashes"))
+    return F.struct(F.least(a["least"], b["least"]).alias("least"), F.sort_array(F.array_union(a["hashes"], b["hashes"])).alias("hashes"))
 
 
 def as_text(s: Column) -> Column:
-    hashes = F.array_join(F.transform(s["hashes"], lambda h: F.lpad(F.lower(F.hex(h)), 15, "0")), "")
-    return F.when(F.size(s["hashes"]) == 0, F.lit("-")).otherwise(F.concat(F.lower(F.hex(s["reach"])), F.lit(":"), hashes))
+    spelled = lambda h: F.lpad(F.lower(F.hex(h)), 15, "0")
+    return F.when(s["least"].isNull(), F.lit("-")).otherwise(F.concat(spelled(s["least"]), F.lit(":"), F.array_join(F.transform(s["hashes"], spelled), "")))
+
 
+def _order() -> tuple[Column, ...]:
+    """Of the rows of a range; its ghost comes last."""
+    return F.col("_ghost"), F.col("doc_id").asc_nulls_first(), F.col("text")
 
-def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df (doc_id, text and more) with next_<column>, the column in the row after it; after the last row, in the first."""
+
+def ranged(df: DataFrame) -> DataFrame:
+    """df (doc_id, text) dealt by ranges of doc_id and sorted within them, each with the first row of the next one as its
+    ghost (the last range: the first row of all)."""
     size = df.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
     ranges = min(MOST_RANGES, max(1, size["n"] // RANGE_ROWS), max(1, size["known"]))
     cuts: list[int] = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
         cuts = sorted(set(df.agg(F.percentile_approx("doc_id", shares, 20 * ranges)).first()[0]))
-    df = df.withColumn("_range", _bucket(F.col("doc_id"), cuts).cast("int"))
-    both = df.withColumn("_ghost", F.lit(False)).unionByName(_heads(df))
-    window = Window.partitionBy("_range").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "text")
-    led = both.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns})
+    marked = df.withColumn("_range", _bucket(F.col("doc_id"), cuts).cast("int"))
+    both = marked.withColumn("_ghost", F.lit(False)).unionByName(_heads(marked))
+    return both.repartition("_range").sortWithinPartitions("_range", *_order())
+
+
+def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows as ranged() gives them, without the ghosts, with next_<column>: the column in the row after it."""
+    window = Window.partitionBy("_range").orderBy(*_order())
+    led = rows.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns})
     return led.filter("not _ghost").drop("_ghost", "_range")
 
 
@@ -114,22 +107,22 @@ def _bucket(value: Column, cuts: list[int]) -> Column:
 
 
 def _heads(df: DataFrame) -> DataFrame:
-    """The first row of each range, marked as a ghost in the range before it that has rows (before the first: the last)."""
+    """The first row of each range, marked as a ghost in the range before it that has rows (before the first: the last).
+
+    They are found by doc_id alone, and only their texts are then fetched: a row for each range."""
     first = df.groupBy("_range").agg(F.min("doc_id").alias("id"), F.count_if(F.col("doc_id").isNull()).alias("n")).collect()
-    present = sorted(r["_range"] for r in first)  # a row for each range
-    rows = [(r["_range"], None if r["n"] else r["id"], present[i - 1]) for i, r in enumerate(sorted(first, key=lambda r: r["_range"]))]
-    wanted = F.broadcast(df.sparkSession.createDataFrame(rows, "_at int, _first long, _before int"))
-    heads = df.join(wanted, (F.col("_range") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    present = sorted(r["_range"] for r in first)
+    rows = [(None if r["n"] else r["id"], present[i - 1]) for i, r in enumerate(sorted(first, key=lambda r: r["_range"]))]
+    wanted = F.broadcast(df.sparkSession.createDataFrame(rows, "_first long, _before int"))
+    heads = df.join(wanted, F.col("doc_id").eqNullSafe(F.col("_first")))
     # Of rows that share the first doc_id, the one with the smallest text comes first.
-    order = Window.partitionBy("_range").orderBy("text")
-    heads = heads.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    return heads.withColumn("_range", F.col("_before")).withColumn("_ghost", F.lit(True)).select(*df.columns, "_ghost")
+    one = heads.groupBy("doc_id", "_before").agg(F.min("text").alias("text"))
+    return one.select("doc_id", "text", F.col("_before").alias("_range"), F.lit(True).alias("_ghost")).select(*df.columns, "_ghost")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, with the sketches of its text, of the edited text and of the next text as structs."""
-    df = sketch(id_text(docs), "text", "own").withColumn("n_chars", F.length("text").cast("long"))
-    df = with_next(df, ["text", "own"])
+    df = with_next(sketch(ranged(id_text(docs)), "text", "own"), ["text", "own"]).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut))
     return sketch(df.withColumn("edited", edited), "edited", "changed").withColumnRenamed("next_own", "following")
