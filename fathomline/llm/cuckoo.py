@@ -23,8 +23,8 @@ class CuckooFilter:
 
     @classmethod
     def of(cls, keys: np.ndarray) -> CuckooFilter:
-        """A filter of all keys, as large as they need."""
-        keys = np.unique(keys)
+        """A filter of all keys, as large as they need; a key that comes twice is held twice."""
+        keys = np.asarray(keys, dtype=np.uint64)
         capacity = len(keys)
         while True:
             out = cls(capacity)
@@ -94,7 +94,7 @@ class CuckooFilter:
     def delete(self, keys: np.ndarray) -> None:
         """Takes one copy of each key out; the caller knows from the exact table that it is there."""
         prints, one, two = self._places(keys)
-        for p, a, b in zip(prints, one, two, strict=True):
+        for p, a, b in zip(prints.tolist(), one.tolist(), two.tolist(), strict=True):
             for bucket in (a, b):
                 at = np.flatnonzero(self.table[bucket] == p)
                 if len(at):

@@ -1,32 +1,38 @@
 r"""Line deduplication that can be undone.
 
 A line's key is the line without white space at both ends, A-Z lower-cased; keys under ten code points never count.  The
-exact side is a table of postings (key, doc_id) whose counts by key are the reference counts: a key of two documents or
-more loses its lines in all but the smallest doc_id.  Documents are inserted by adding postings and deleted by taking
-theirs out, and the next `apply` brings back lines whose other holders are gone.
+exact side is two tables: postings (key, doc_id), and for each key its reference count, the documents that hold it, with the
+smallest of them.  A key of two documents or more loses its lines in all but the smallest doc_id.
 
-Before lines are shuffled to be looked up in the counts, sharded cuckoo filters of the shared keys drop those that are
-certainly not shared.  The filters go to every task only while their size, which is checked, stays under FILTER_BYTES;
-beyond it, all lines go to the lookup.  A false positive costs a lookup, never a line.
+A sharded cuckoo filter holds the shared keys, those with a count of two or more.  Before postings are joined to the exact
+counts, each is dealt to its key's shard, where the shard's filter, which one task at a time loads, drops what is certainly
+not shared.  It is the same at every size: a filter holds about SHARD_KEYS keys, and LANES tasks share a shard, so a key that
+a third of all documents hold isn't one task's.  A false positive costs a lookup, never a line.
+
+Documents are inserted and deleted by their keys alone: counts of keys that they hold go up or down, keys that come to be
+shared are inserted into their shard's filter and keys that are no longer shared deleted from it, and counts and filters of
+all other keys stay as they are.  The next `apply` brings back lines whose other holders are gone.
 
 Keys are 128-bit hashes.  Null or empty texts are one empty line.  Rows of one doc_id that repeat are one document for
-the counts, and each row gets its own output.  Rows without a doc_id keep all lines.  Other columns are left alone.
+the counts, and each row gets its own output.  Rows without a doc_id keep all lines.  Other columns are left alone.  An
+empty table has no postings and no output.  A long text is read in slices of whole rows, so it takes memory in proportion to
+itself; Arrow's offsets bound a batch at 2 GB.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import documents, id_text, stage
+from .common import documents, id_text, repeats, stage
 from .cuckoo import CuckooFilter
 
 LEAST_POINTS = 10
-FILTER_BYTES = 64 << 20
-SHARD_KEYS = 1 << 20
+#: Keys of a shard, about, and how many tasks may share the postings of one.
+SHARD_KEYS, LANES = 1 << 16, 16
 KEY = ["k1", "k2"]
 _POSTINGS = "k1 long, k2 long, doc_id long"
 
@@ -52,10 +58,15 @@ def postings(docs: DataFrame) -> DataFrame:
     return id_text(docs).filter("doc_id is not null").mapInArrow(_postings, _POSTINGS)
 
 
-def shared_keys(postings: DataFrame) -> DataFrame:
-    """Keys of two documents or more, with how many there are and the smallest."""
-    counted = postings.groupBy(*KEY).agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return counted.filter("first_doc < last_doc").select(*KEY, "first_doc", "n_rows")
+def _once(docs: DataFrame) -> DataFrame:
+    """The postings of docs, once for each document: only rows that share their doc_id can repeat one."""
+    out = postings(docs)
+    return out.distinct() if repeats(docs.filter("doc_id is not null")) else out
+
+
+def counts(postings: DataFrame) -> DataFrame:
+    """(k1, k2, n_docs, first_doc): the reference count of each key and its smallest document."""
+    return postings.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 def _shards(n_keys: int) -> int:
@@ -65,45 +76,75 @@ def _shards(n_keys: int) -> int:
     return n
 
 
-def build_filters(shared: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, filter): a cuckoo filter of the k1 of each shard's keys; a shard has about SHARD_KEYS keys at most."""
+def _shard(n_shards: int) -> Column:
+    return F.pmod("k1", F.lit(n_shards)).cast("int")
+
+
+_FILTERS = "shard int, filter binary"
+
+
+def changed_filters(filters: DataFrame, changes: DataFrame, shared: DataFrame, n_shards: int) -> DataFrame:
+    """filters after changes (k1, gain): keys that come to be shared (gain 1) or no longer are (-1), by insertion and
+    deletion.  A filter that is full, or not there yet, is made of all its shard's keys in shared."""
+    dealt = changes.select(_shard(n_shards).alias("shard"), "k1", "gain")
+
+    def update(old: pa.Table, new: pa.Table) -> pa.Table:
+        schema = pa.schema([("shard", pa.int32()), ("filter", pa.binary())])
+        if not old.num_rows or not new.num_rows:
+            return old.cast(schema) if old.num_rows else pa.table({"shard": [new.column("shard")[0].as_py()], "filter": pa.array([None], pa.binary())}, schema=schema)
+        held = CuckooFilter.from_bytes(old.column("filter")[0].as_py())
+        keys, gain = new.column("k1").to_numpy().view(np.uint64), new.column("gain").to_numpy()
+        held.delete(keys[gain < 0])
+        full = not held.insert(keys[gain > 0])
+        return pa.table({"shard": [old.column("shard")[0].as_py()], "filter": pa.array([None if full else held.to_bytes()], pa.binary())}, schema=schema)
+
+    done = stage(filters.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(update, _FILTERS), "line-filters")
+    full = done.filter("filter is null").select("shard")
+    anew = built_filters(shared.withColumn("shard", _shard(n_shards)).join(full, "shard"))
+    return stage(done.filter("filter is not null").unionByName(anew), "line-filters")
+
+
+def built_filters(keys: DataFrame) -> DataFrame:
+    """(shard, filter): a cuckoo filter of the k1 of each shard's keys (shard, k1), about SHARD_KEYS of them."""
 
     def of(table: pa.Table) -> pa.Table:
         keys = table.column("k1").to_numpy().view(np.uint64)
         return pa.table({"shard": [table.column("shard")[0].as_py()], "filter": pa.array([CuckooFilter.of(keys).to_bytes()], pa.binary())}, schema=pa.schema([("shard", pa.int32()), ("filter", pa.binary())]))
 
-    return shared.select("k1", F.pmod("k1", F.lit(n_shards)).cast("int").alias("shard")).groupBy("shard").applyInArrow(of, "shard int, filter binary")
+    return keys.select("shard", "k1").groupBy("shard").applyInArrow(of, _FILTERS)
+
+
+def _probe(batches):
+    """Rows in order of shard and lane, the filter of a shard before its postings: the postings that it may hold."""
+    held = None
+    for batch in batches:
+        shards, lanes = batch.column("shard").to_numpy(), batch.column("lane").to_numpy()
+        new = np.ones(len(batch), dtype=bool)
+        new[1:] = (shards[1:] != shards[:-1]) | (lanes[1:] != lanes[:-1])
+        starts = np.flatnonzero(new).tolist()
+        hit = np.zeros(len(batch), dtype=bool)
+        filters = batch.column("filter")
+        valid = filters.is_valid().to_numpy(zero_copy_only=False)
+        keys = batch.column("k1").fill_null(0).to_numpy().view(np.uint64)
+        for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+            if held is None or held[:2] != (shards[a], lanes[a]):
+                held = (shards[a], lanes[a], None)
+            if valid[a]:
+                held = (shards[a], lanes[a], CuckooFilter.from_bytes(filters[a].as_py()))
+                a += 1
+            if held[2] is not None and a < b:
+                hit[a:b] = held[2].contains(keys[a:b])
+        yield batch.select([*KEY, "doc_id"]).filter(pa.array(hit))
 
 
 def probe(postings: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
-    """Postings whose key the filters may hold.  All of them, unread, if the filters are too large to be sent."""
-    spark = postings.sparkSession
-    total = filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-    if total > FILTER_BYTES:
-        return postings
-    sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.collect()})
-
-    def keep(batches):
-        held = {shard: CuckooFilter.from_bytes(data) for shard, data in sent.value.items()}
-        for batch in batches:
-            keys = batch.column("k1").to_numpy()
-            shard = np.mod(keys, n_shards)
-            hit = np.zeros(len(keys), dtype=bool)
-            for s, f in held.items():
-                at = np.flatnonzero(shard == s)
-                hit[at] = f.contains(keys[at].view(np.uint64))
-            yield batch.filter(pa.array(hit))
-
-    return postings.mapInArrow(keep, _POSTINGS)
-
-
-def drops(postings: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, keys): what each document loses, its keys as bytes."""
-    n_shards = _shards(shared.count())
-    filters = stage(build_filters(shared, n_shards), "line-filters")
-    maybe = probe(postings, filters, n_shards)
-    lost = maybe.join(shared.select(*KEY, "first_doc"), KEY).filter("doc_id <> first_doc")
-    return lost.groupBy("doc_id").agg(F.collect_set("k1").alias("one"), F.collect_set("k2").alias("two"))
+    """Postings whose key their shard's filter may hold.  A task streams them past one filter at a time."""
+    lane = F.pmod(F.xxhash64("doc_id"), F.lit(LANES)).cast("int")
+    none = F.lit(None).cast("binary")
+    rows = postings.select(_shard(n_shards).alias("shard"), lane.alias("lane"), none.alias("filter"), *KEY, "doc_id")
+    each = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), "filter")
+    both = rows.unionByName(each, allowMissingColumns=True).repartition("shard", "lane").sortWithinPartitions("shard", "lane", F.col("k1").asc_nulls_first())
+    return both.mapInArrow(_probe, _POSTINGS)
 
 
 @kernels.releasing
@@ -138,32 +179,66 @@ def _kept(batches):
 
 
 class LineIndex:
-    """The postings and what follows from them.  Each change gives a new index; the old one stays as it was."""
+    """Postings, counts and filters, as tables.  Each change gives a new index; the old one stays as it was."""
 
-    def __init__(self, postings: DataFrame):
-        self.postings = postings.select(*KEY, "doc_id")
-        self.shared = stage(shared_keys(postings), "line-counts")
+    def __init__(self, postings: DataFrame, counts: DataFrame, filters: DataFrame, n_shards: int):
+        self.postings, self.counts, self.filters, self.n_shards = postings, counts, filters, n_shards
 
     @classmethod
     def build(cls, docs: DataFrame) -> LineIndex:
-        return cls(stage(postings(docs), "line-postings"))
+        held = stage(_once(docs), "line-postings")
+        counted = stage(counts(held), "line-counts")
+        shared = counted.filter("n_docs > 1")
+        n_shards = _shards(shared.count())
+        filters = stage(built_filters(shared.withColumn("shard", _shard(n_shards))), "line-filters")
+        return cls(held, counted, filters, n_shards)
+
+    def _with(self, postings: DataFrame, old: DataFrame, new: DataFrame) -> LineIndex:
+        """With the counts of the touched keys as in new in place of old, and only their shards' filters changed."""
+        rest = self.counts.join(old.select(*KEY), KEY, "left_anti")
+        counted = stage(rest.unionByName(new.filter("n_docs > 0")), "line-counts")
+        was, now = F.coalesce(F.col("was") > 1, F.lit(False)), F.col("n_docs") > 1
+        both = new.join(old.select(*KEY, F.col("n_docs").alias("was")), KEY, "left")
+        changes = both.filter(was != now).select("k1", F.when(now, 1).otherwise(-1).alias("gain"))
+        return LineIndex(postings, counted, changed_filters(self.filters, changes, counted.filter("n_docs > 1"), self.n_shards), self.n_shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Also counts the lines of docs, whose doc_ids are new."""
-        return LineIndex(self.postings.unionByName(stage(postings(docs), "line-postings")))
+        more = stage(_once(docs), "line-postings")
+        gained = stage(counts(more), "line-touched")
+        old = stage(self.counts.join(gained.select(*KEY), KEY, "left_semi"), "line-old")
+        known = old.select(*KEY, F.col("n_docs").alias("was"), F.col("first_doc").alias("first"))
+        total = (F.col("n_docs") + F.coalesce("was", F.lit(0))).alias("n_docs")
+        new = gained.join(known, KEY, "left").select(*KEY, total, F.least("first_doc", "first").alias("first_doc"))
+        return self._with(self.postings.unionByName(more), old, stage(new, "line-new"))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents named in the column doc_id."""
-        return LineIndex(stage(self.postings.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"), "line-postings"))
+        ids = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        gone = stage(self.postings.join(ids, "doc_id").select(*KEY, "doc_id"), "line-touched")
+        held = stage(self.postings.join(ids, "doc_id", "left_anti").select(*KEY, "doc_id"), "line-postings")
+        lost = gone.groupBy(*KEY).agg(F.count("*").alias("lost"), F.min("doc_id").alias("least"))
+        old = stage(self.counts.join(lost, KEY), "line-old")
+        # A key whose smallest document goes finds the next among its own postings.
+        left = old.filter("n_docs > lost and first_doc = least").select(*KEY)
+        after = held.join(left, KEY, "left_semi").groupBy(*KEY).agg(F.min("doc_id").alias("after"))
+        new = old.join(after, KEY, "left").select(*KEY, (F.col("n_docs") - F.col("lost")).alias("n_docs"), F.coalesce("after", "first_doc").alias("first_doc"))
+        return self._with(held, old, stage(new, "line-new"))
+
+    def drops(self) -> DataFrame:
+        """(doc_id, one, two): what each document loses, the halves of its keys."""
+        shared = self.counts.filter("n_docs > 1").select(*KEY, "first_doc")
+        lost = probe(self.postings, self.filters, self.n_shards).join(shared, KEY).filter("doc_id <> first_doc")
+        return lost.groupBy("doc_id").agg(F.collect_set("k1").alias("one"), F.collect_set("k2").alias("two"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """doc_id, the kept text, n_lines before and n_dropped, a row for each row of docs, which the index holds."""
-        df = id_text(docs).join(drops(self.postings, self.shared), "doc_id", "left")
+        df = id_text(docs).join(self.drops(), "doc_id", "left")
         return df.mapInArrow(_kept, "doc_id long, text string, n_lines long, n_dropped long")
 
     def replace_text(self, docs: DataFrame) -> DataFrame:
         """docs, all columns in their order, with the kept lines as text, and n_chars (if it is there) as its code points."""
-        lost = drops(self.postings, self.shared).select(F.col("doc_id").alias("_doc"), "one", "two")
+        lost = self.drops().select(F.col("doc_id").alias("_doc"), "one", "two")
         rest = [c for c in docs.columns if c != "text"]
         marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
         marked = marked.join(lost, F.col("_id") == F.col("_doc"), "left").select("_row", "text", "one", "two")

@@ -377,21 +377,65 @@ def applied(index, df):
     return {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in index.apply(df).collect()}
 
 
+def plan_nodes(df):
+    import re
+
+    return re.findall(r"[A-Z]\w+(?= [\[(])", df._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_lines(spark, docs, monkeypatch):
-    index = lines.LineIndex.build(docs)
-    assert applied(index, docs) == deduped(TEXTS)
-    monkeypatch.setattr(lines, "FILTER_BYTES", 0)  # the way without filters
-    assert applied(index, docs) == deduped(TEXTS)
+    plans = set()
+    for keys in (1, 8, 1 << 60):
+        monkeypatch.setattr(lines, "SHARD_KEYS", keys)
+        index = lines.LineIndex.build(docs)
+        assert applied(index, docs) == deduped(TEXTS)
+        plans.add(tuple(plan_nodes(index.apply(docs))))
+    assert len(plans) == 1  # one way at every size
+
+
+def test_repeated_rows_are_one_document(spark):
+    df = spark.createDataFrame([(1, "a line of some length"), (1, "a line of some length"), (2, "another long line"), (None, "another long line")], "doc_id long, text string")
+    assert {(r["doc_id"], r["text"], r["n_dropped"]) for r in lines.LineIndex.build(df).apply(df).collect()} == {(1, "a line of some length", 0), (2, "another long line", 0), (None, "another long line", 0)}
+
+
+def held_by(index):
+    """The counts, and which of all keys the filters hold."""
+    counts = {(r["k1"], r["k2"]): (r["n_docs"], r["first_doc"]) for r in index.counts.collect()}
+    filters = {r["shard"]: CuckooFilter.from_bytes(bytes(r["filter"])) for r in index.filters.collect()}
+    shared = {k for k in counts if k[0] % index.n_shards in filters and filters[k[0] % index.n_shards].contains(np.array([k[0]]).view(np.uint64))[0]}
+    return counts, shared
 
 
-def test_lines_can_be_undone(spark, docs):
+def test_lines_can_be_undone(spark, docs, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 16)
     gone = set(CORPUS[::3])
     some = {i: t for i, t in TEXTS.items() if i not in gone}
-    rest = frame(spark, some)
-    smaller = lines.LineIndex.build(docs).delete(docs.filter(F.col("doc_id").isin(*gone)))
+    rest, out = frame(spark, some), docs.filter(F.col("doc_id").isin(*gone))
+    whole = lines.LineIndex.build(docs)
+    seen = []
+    count, built = lines.counts, lines.built_filters
+    monkeypatch.setattr(lines, "counts", lambda p: seen.append({r["doc_id"] for r in p.select("doc_id").distinct().collect()}) or count(p))
+    monkeypatch.setattr(lines, "built_filters", lambda keys: seen.append(keys.count()) or built(keys))
+    smaller = whole.delete(out)
     assert applied(smaller, rest) == deduped(some)
-    again = smaller.insert(docs.filter(F.col("doc_id").isin(*gone)))
+    again = smaller.insert(out)
     assert applied(again, docs) == deduped(TEXTS)
+    # Only the inserted documents are counted, and no filter is made anew.
+    assert [x for x in seen if isinstance(x, set)] and all(x <= gone for x in seen if isinstance(x, set)) and sum(x for x in seen if isinstance(x, int)) == 0
+    for index, table in ((smaller, rest), (again, docs)):
+        counts, shared = held_by(index)
+        assert counts == held_by(lines.LineIndex.build(table))[0]
+        assert {k for k, (n, _) in counts.items() if n > 1} <= shared
+    assert applied(whole, docs) == deduped(TEXTS)
+
+
+def test_a_full_filter_is_made_anew(spark, monkeypatch):
+    old = frame(spark, {i: f"the first line here {i // 2}" for i in range(8)})
+    index = lines.LineIndex.build(old)
+    more = {i: f"some other line here {i // 2}" for i in range(100, 300)}
+    grown = index.insert(frame(spark, more))
+    every = {i: f"the first line here {i // 2}" for i in range(8)} | more
+    assert applied(grown, frame(spark, every)) == deduped(every)
 
 
 def test_replaced_text_keeps_columns(spark):
