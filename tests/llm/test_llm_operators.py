@@ -95,6 +95,18 @@ def test_sharding_balances_and_cuts_only_groups_beyond_a_share(spark):
     assert got.groupby("shard").size().max() <= 1.1 * len(got) / 8
 
 
+@pytest.mark.parametrize("heavy", [2, 256, 10**9])
+def test_every_group_is_placed_whole_and_shards_are_even(spark, monkeypatch, heavy):
+    """All groups in classes, some one by one, and all of them one by one."""
+    monkeypatch.setattr(sharding, "HEAVY", heavy)
+    got = sharding.shard_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    sums = got.groupby("shard").agg(size=("size", "sum"), tokens=("n_tokens", "sum"), rows=("slot", "count"), last=("slot", "max"))
+    assert len(got) == 1000 and len(sums) == 16 and (sums["last"] == sums["rows"] - 1).all()
+    assert sums["size"].max() - sums["size"].min() <= 0.01 * sums["size"].mean()
+    assert sums["tokens"].max() <= 1.1 * sums["tokens"].mean() and sums["rows"].max() <= 1.5 * sums["rows"].mean()
+    assert (got.groupby(["text_crc32", "size"])["shard"].nunique() == 1).all()
+
+
 def test_place_is_near_equal():
     r = np.random.default_rng(0)
     loads = r.random((4000, 3)) / 250
