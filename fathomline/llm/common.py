@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -38,11 +39,38 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_WATCHING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tables_made():
+    """The paths of all tables that are staged meanwhile, for discard()."""
+    made: list[str] = []
+    _WATCHING.append(made)
+    try:
+        yield made
+    finally:
+        _WATCHING.remove(made)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def staged_path(df: DataFrame) -> str:
+    """Where a frame that stage() returned is."""
+    return df._fathomline_path
+
+
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written to a table of the shared folder and read again: lost executors cost no earlier work."""
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _WATCHING:
+        made.append(path)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fathomline_path = path
@@ -51,9 +79,7 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def unstage(df: DataFrame) -> None:
     """Deletes the table of a frame that stage() returned and that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._fathomline_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(df.sparkSession, [staged_path(df)])
 
 
 #: Rows of one or two longs that may go to every task: 64 MB at most.

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import documents, id_text, repeats, stage
+from .common import SPACE, documents, id_text, repeats, stage
 from .cuckoo import CuckooFilter
 
 LEAST_POINTS = 10
@@ -236,23 +236,29 @@ class LineIndex:
         df = id_text(docs).join(self.drops(), "doc_id", "left")
         return df.mapInArrow(_kept, "doc_id long, text string, n_lines long, n_dropped long")
 
-    def replace_text(self, docs: DataFrame) -> DataFrame:
-        """docs, all columns in their order, with the kept lines as text, and n_chars (if it is there) as its code points."""
+    def replace_text(self, docs: DataFrame, least_words: int = 0, least_share: float = 0.0) -> DataFrame:
+        """docs, all columns in their order, with the kept lines as text, and n_chars (if it is there) as its code points.
+
+        Documents that lose lines go altogether if fewer than least_words words, or than least_share of all their words, are
+        left: what is left of a copy is no document."""
         lost = self.drops().select(F.col("doc_id").alias("_doc"), "one", "two")
         rest = [c for c in docs.columns if c != "text"]
         marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-        marked = marked.join(lost, F.col("_id") == F.col("_doc"), "left").select("_row", "text", "one", "two")
-        schema = marked.select("_row", "text").schema.add("n_lines", "long").add("n_dropped", "long")
+        words = F.regexp_count("text", F.lit(f"[^{SPACE[1:]}+"))
+        marked = marked.join(lost, F.col("_id") == F.col("_doc"), "left").select("_row", "text", "one", "two", F.when(F.col("one").isNotNull(), words).alias("_words"))
+        schema = marked.select("_row", "_words", "text").schema.add("n_lines", "long").add("n_dropped", "long")
         out = marked.mapInArrow(_kept, schema)
+        if least_words or least_share:
+            out = out.filter(F.when(F.col("n_dropped") > 0, words >= F.greatest(F.lit(float(least_words)), F.lit(least_share) * F.col("_words"))).otherwise(F.lit(True)))
         columns = {c: F.col("_row").getField(c) for c in rest} | {"text": F.col("text")}
         if "n_chars" in columns:
             columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
         return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
-    """docs with the same columns and shorter texts."""
-    return LineIndex.build(docs).replace_text(docs)
+def dedup_documents(docs: DataFrame, least_words: int = 0, least_share: float = 0.0) -> DataFrame:
+    """docs with the same columns and shorter texts, without what is left of copies, as replace_text() says."""
+    return LineIndex.build(docs).replace_text(docs, least_words, least_share)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

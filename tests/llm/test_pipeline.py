@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from support import CLASHES, components, corpus, words
 
 import corpus_pipeline as pipeline
-from fathomline.llm import packing, registry, tokens
+from fathomline.llm import neardup, packing, registry, tokens
 
 
 def quality(texts):
@@ -29,13 +29,47 @@ def written(spark, tmp_path, texts):
     return str(tmp_path)
 
 
+def left_over(texts):
+    """What line dedup leaves, without what is left of copies."""
+    from test_llm_operators import deduped
+
+    whole = quality(texts)
+    rest = lambda i, t, gone: gone and len(words(t)) < max(10, 0.2 * len(words(whole[i])))
+    return {i: t for i, (t, _, gone) in deduped(whole).items() if not rest(i, t, gone)}
+
+
+def test_near_copies_of_whole_texts_come_out_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    first = pipeline.STAGES[0][1](spark, docs, "").cache()
+    groups = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(first).collect()}
+    out = {r["doc_id"] for r in pipeline.run(spark, "/root/testdata/sf0.01").select("doc_id").distinct().collect()}
+    assert out <= set(groups) <= set(texts)
+    most = Counter(groups[i] for i in out)
+    assert len(groups) - len(set(groups.values())) > 50 and max(most.values()) == 1
+    alone = {i for i, n in Counter(groups.values()).items() if n == 1}
+    assert len(alone - out) <= 0.01 * len(alone)
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    import os
+
+    from fathomline.llm import common
+
+    folder = written(spark, tmp_path, corpus(20, seed=3))
+    root = common.scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    pipeline.run(spark, folder).collect()
+    assert all(x.startswith(("pipeline-pii", "pseudonyms", "pack")) for x in set(os.listdir(root)) - before)
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
-    from test_llm_operators import crc, deduped
+    from test_llm_operators import crc
     from tokenizers import Tokenizer
 
     texts = corpus(45, seed=7)
     folder = written(spark, tmp_path, texts)
-    kept = {i: t for i, (t, _, _) in deduped(quality(texts)).items()}
+    kept = left_over(texts)
     groups = components(kept)
     kept = {i: t for i, t in kept.items() if groups[i] == i}
     got = pipeline.run(spark, folder).collect()
