@@ -69,7 +69,7 @@ def _norm(s: pd.Series, drop: str, by: str) -> pd.Series:
 
 #: Headers that are no titles.
 GENERIC_TITLE = (
-    r"(?i)contents lists available|sciencedirect|latex template|springer nature [0-9]|under consideration for publication|author.?s version|"
+    r"(?i)contents lists available|sciencedirect|latex template|springer nature \d|under consideration for publication|author.?s version|"
     r"this may be the|c documents and settings|^untitled|elsevier|^microsoft word|journal homepage|available online at|^proof$"
 )
 LEAST_KEY = 25
@@ -196,10 +196,10 @@ def import_name(title: Column | str, authors: Column | str, suffix: Column | str
 
 
 #: What no author is called, and what no title holds.
-JUNK_AUTHORS = (
-    "unknown approach language the research ieee sciencedirect erp springer press apa abstract proceedings taka05 team adminuser author editors "
-    "editor et al"
-).split()
+JUNK_AUTHORS = [
+    "unknown", "approach", "language", "the", "research", "ieee", "sciencedirect", "erp", "springer", "press", "apa", "abstract", "proceedings",
+    "taka05", "team", "adminuser", "author", "editors", "editor", "et", "al",
+]
 JUNK_TITLE = (
     r"(?i)IEEETRANSACTIONS|ScienceDirect|Journal of Intelligent|Proceedings of the IEEE|\bLNCS\b|\.dvi\b|\bVol\b|\bNO\.\s*\d|\d{4}\.\d{4,}|978-3|"
     r"Semantic Web \d|Data Knowledge Engineering|Bulletin of|Springer Nature|-main\b|full-issue|^\d+$"

@@ -51,10 +51,39 @@ def test_pdf_record():
     assert files.pdf_record("stem", [], 0, "Untitled", None)["needs_review"]
 
 
-def test_author_lines():
-    lines = ["Title", "University of X", "a@b.org", "1st International Workshop", "Ann Lee, Bo Yi and Cy Po", "Abstract"]
-    assert files.author_lines(lines, 0) == ["Ann Lee", "Bo Yi", "Cy Po"]
-    assert files.author_lines(["T", "Ann Lee", "Bo Yi", "Abstract x", "No One"], 0) == ["Ann Lee", "Bo Yi"]
+def test_author_lines(spark):
+    cases = [
+        (["Title", "University of X", "a@b.org", "1st International Workshop", "Ann Lee, Bo Yi and Cy Po", "Abstract: x", "No One"], ["Ann Lee", "Bo Yi", "Cy Po"]),
+        (["T", "Ann Lee", "Bo Yi", "Abstract x", "No One"], ["Ann Lee", "Bo Yi"]),
+        (["T", "Abstract", "Ann  Lee"], ["Ann Lee"]),  # a bare heading is boilerplate and ends nothing
+        (["T", *[f"A{i} B" for i in range(9)], "C D, E F"], [f"A{i} B" for i in range(6)]),
+        (["T", ", ".join(f"A{i} B" for i in range(12))], [f"A{i} B" for i in range(8)]),
+        (["T", "a b c d e f g, h i j k l m n", "Ann Lee"], ["Ann Lee"]),
+        (["T", *["one long line of many words here"] * 11, "Too Late"], []),
+        (["T"], []),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x array<string>")
+    got = {r["i"]: r["a"] for r in df.select("i", files.author_lines("x", F.lit(0)).alias("a")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_biblio(spark):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    docx = packed(**{"word/document.xml": f"<w:document {w}><w:p><w:r><w:t>Head</w:t></w:r></w:p></w:document>", "docProps/core.xml": "<c><title>A Title</title><creator>Ann Lee</creator></c>"})
+    rows = [("/l/a.md", b"# A Title Here\n\nno"), ("/l/b.txt", b"Some Work\nAnn Lee and Bo Yi\nAbstract: x\nNo One"), ("/l/c.docx", b"no zip"), ("/l/d.docx", docx), ("/l/e.xyz", b"")]
+    got = {r["path"][3]: (r["biblio"]["title"], r["biblio"]["authors"]) for r in files.biblio(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")).collect()}
+    assert got == {"a": ("A Title Here", []), "b": ("Some Work", ["Ann Lee", "Bo Yi"]), "c": ("c", []), "d": ("A Title", ["Ann Lee"]), "e": ("e", [])}
+
+
+def test_broken_books_and_notebooks():
+    assert files.read_document("a_b.epub", b"no zip")["title"] == "a b" and files.read_document("a_b.epub", packed(x="y"))["pages"] == []
+    assert files.read_document("a_b.ipynb", b'{"cells": []}')["title"] == "a b"
+    assert files.read_document("p.bpmn", b'<task name="x"/><process id="1">')["title"] == "p"
+
+
+def test_deep_pages():
+    assert H.to_markdown(H.parse("<div>" * 5000 + "deep")) == "deep\n"
+    assert H.to_markdown(H.parse("<span>a<b>b</b>c</span>")) == "c\n"
 
 
 def test_listing_and_documents(spark, tmp_path):
