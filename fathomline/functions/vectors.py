@@ -50,21 +50,21 @@ def bucket(token: Column | str, dim: int) -> Column:
 class HashEmbedder:
     """Counts of hashed tokens over their length: deterministic, and needs no model."""
 
+    batch = 512
+
     def __init__(self, dim: int = 256):
         self.dim, self.model = dim, f"hash-{dim}"
 
     def embed(self, texts: list[str | None]) -> list[list[float]]:
-        known: dict[str, int] = {}
-        out = []
-        for text in texts:
-            row = np.zeros(self.dim)
-            for token in (text or "").lower().split():
-                if token not in known:
-                    known[token] = int(hashlib.md5(token.encode()).hexdigest(), 16) % self.dim
-                row[known[token]] += 1
-            size = np.linalg.norm(row)
-            out.append((row / size if size else row).tolist())
-        return out
+        """Each distinct token of the texts is hashed once."""
+        split = [(text or "").lower().split() for text in texts]
+        tokens = pd.Series([x for words in split for x in words], dtype=object)
+        codes, distinct = pd.factorize(tokens)
+        buckets = np.array([int(hashlib.md5(x.encode()).hexdigest(), 16) % self.dim for x in distinct], dtype=np.int64)
+        rows = np.repeat(np.arange(len(texts)), [len(words) for words in split])
+        counts = np.bincount(rows * self.dim + buckets[codes], minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float64) if len(codes) else np.zeros((len(texts), self.dim))
+        sizes = np.linalg.norm(counts, axis=1, keepdims=True)
+        return (counts / np.where(sizes == 0, 1, sizes)).tolist()
 
     def column(self, text: Column | str) -> Column:
         """Vectors of a text column, an Arrow batch at a time."""
@@ -72,11 +72,12 @@ class HashEmbedder:
 
 
 def embedded(embedder, text: Column | str) -> Column:
-    """Vectors from anything with embed(); a batch holds 64 texts."""
+    """Vectors from anything with embed(); a batch holds 64 texts, or as many as its `batch` says."""
+    size = getattr(embedder, "batch", 64)
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
         texts = [x or "" for x in s]
-        return pd.Series([v for at in range(0, len(texts), 64) for v in embedder.embed(texts[at : at + 64])])
+        return pd.Series([v for at in range(0, len(texts), size) for v in embedder.embed(texts[at : at + size])])
 
     return run(col(text))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..scratch import written
 
 SIMILAR_K, LEAST_SCORE = 8, 0.5
 #: Vectors of a block of the exact neighbour search.
@@ -23,12 +24,25 @@ def exploded(docs: DataFrame, array: str, name: str) -> DataFrame:
 def nodes(values: DataFrame, value: str, norm: Column, order: Column, prefix: str, name: str = "name", least: int = 1) -> DataFrame:
     """(<prefix>_id, <name>, <name>_norm): a node for each normalised value, spelled as the smallest by (order, spelling).
 
-    Ids number the nodes by their normalised value.  Numbering is the one global step; it sees a row for each node.
+    Ids number the nodes by their normalised value.
     """
     known = values.select(F.col(value).alias("v"), norm.alias("n"), order.alias("o")).filter(F.col("v").isNotNull() & (F.length("n") >= least))
     spelled = known.groupBy("n").agg(F.min(F.struct("o", "v")).alias("m"))
-    number = F.row_number().over(Window.orderBy("n")).cast("long")
-    return spelled.select(number.alias(f"{prefix}_id"), F.col("m.v").alias(name), F.col("n").alias(f"{name}_norm"))
+    return numbered(spelled, "n", f"{prefix}_id").select(f"{prefix}_id", F.col("m.v").alias(name), F.col("n").alias(f"{name}_norm"))
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with `name`: 1, 2, 3 ... in the order of the key, whose values differ.  Ranges of the key are counted one by one, and
+    begin where those before them end, so no task sees more than a range."""
+    low = 33  # monotonically_increasing_id() has the place in the partition in its low bits
+    placed = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_place", F.monotonically_increasing_id())
+    placed = written(placed, "numbered").withColumn("_part", F.shiftright("_place", low)).withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << low) - 1)))
+    before, starts = 0, []
+    for part, n in sorted(map(tuple, placed.groupBy("_part").count().collect())):  # a row for each range
+        starts.append((part, before))
+        before += n
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _before long"))
+    return placed.join(first, "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
 
 
 def authors(docs: DataFrame) -> DataFrame:
@@ -44,7 +58,7 @@ def doc_authors(docs: DataFrame, authors: DataFrame) -> DataFrame:
 
 def topics(docs: DataFrame) -> DataFrame:
     named = docs.filter("topic is not null and topic <> ''").select("topic").distinct()
-    return named.select(F.row_number().over(Window.orderBy("topic")).cast("long").alias("topic_id"), F.col("topic").alias("name"))
+    return numbered(named, "topic", "topic_id").select("topic_id", F.col("topic").alias("name"))
 
 
 def doc_topics(docs: DataFrame, topics: DataFrame) -> DataFrame:
@@ -89,7 +103,7 @@ def similar(vectors: DataFrame, k: int = SIMILAR_K, least: float = LEAST_SCORE,
     blocks bound what a task holds.
     """
     kind = vectors.schema["doc_id"].dataType
-    vectors = vectors.persist()  # counted, and read from both sides
+    vectors = written(vectors, "vectors")  # counted, and read from both sides
     n = vectors.count()
     blocks = max(1, -(-n // block))
     dealt = vectors.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))

@@ -20,11 +20,13 @@ def pool_size(k: int, pool: int | None = None, filtered: bool = False) -> int:
     return max(pool, 20 * k) if filtered else pool
 
 
-def vector_hits(chunks: DataFrame, query: list[float], pool: int) -> DataFrame:
+def vector_hits(chunks: DataFrame, query: list[float], pool: int, digits: int | None = None) -> DataFrame:
     """(chunk_id, doc_id, distance, rank): the nearest by cosine distance, exact; ties by chunk_id.  Zero vectors don't count.
+    With `digits`, distances that are equal when rounded are ties, as between the many equal ones of hashed vectors.
 
     A distributed top-k: each task keeps `pool` rows, and only those are merged."""
-    near = chunks.select("chunk_id", "doc_id", V.cosine_distance("embedding", V.literal(query)).alias("distance"))
+    distance = V.cosine_distance("embedding", V.literal(query))
+    near = chunks.select("chunk_id", "doc_id", (distance if digits is None else F.round(distance, digits)).alias("distance"))
     top = near.filter("distance is not null").orderBy("distance", "chunk_id").limit(pool)
     return _ranked(top, F.asc("distance"))
 
@@ -50,13 +52,14 @@ class Bm25Index:
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str | None = None, pattern: str = TOKEN) -> Bm25Index:
-        """With a path, postings are written there in term order, so a query reads few row groups."""
+        """With a path, postings are written there in order of term and chunk, so a query reads few row groups, and a common
+        word's postings are many tasks' and files'."""
         words = chunks.select("chunk_id", "doc_id", tokens("text", pattern).alias("words"))
         lengths = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
         each = words.withColumn("length", F.size("words")).withColumn("term", F.explode("words"))
         postings = each.groupBy("term", "chunk_id", "doc_id", "length").agg(F.count("*").alias("tf"))
         if path:
-            postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+            postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
             postings = chunks.sparkSession.read.parquet(path)
         return cls(postings, lengths["n"], lengths["mean"] or 0.0)
 
@@ -143,13 +146,13 @@ def expand(found: DataFrame, chunks: DataFrame, documents: DataFrame, query: lis
 
 def search(
     chunks: DataFrame, documents: DataFrame, query: str, embedder, k: int = 10, pool: int | None = None, internal: bool | None = None,
-    graph: dict[str, DataFrame] | None = None, index: Bm25Index | None = None,
+    graph: dict[str, DataFrame] | None = None, index: Bm25Index | None = None, digits: int | None = None,
 ) -> DataFrame:
     """Result rows, hybrid ones first.  Without a graph (or with one that lacks a table) nothing is expanded."""
     n = pool_size(k, pool, internal is not None)
     embed = getattr(embedder, "embed_query", None)
     vector = embed(query) if callable(embed) else embedder.embed([query])[0]
-    fused = fuse(vector_hits(chunks, vector, n), index.search(query, n) if index else bm25_hits(chunks, query, n))
+    fused = fuse(vector_hits(chunks, vector, n, digits), index.search(query, n) if index else bm25_hits(chunks, query, n))
     if internal is not None:
         fused = allowed(fused, documents, internal)
     # k rows: taken once, as hits, seeds and exclusions all follow from them.

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import rules
 from ..sources import lists, web
-from .base import ORACLE_SQL, query, table
+from .base import query, table
 
 HREF_SQL = """
 pg AS (SELECT page_id, url, regexp_extract(url, '^([^#?]*)', 1) AS base, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, html FROM pages),
@@ -44,13 +44,6 @@ def link_graph(spark, sf_dir) -> DataFrame:
     """,
 )
 def s15(spark, sf_dir):
-    import tempfile
-
-    if not spark.sparkContext.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="fathomline-"))
     seeds = spark.createDataFrame([("https://site.example.com/p/1",)], "url string")
     return web.crawl(seeds, link_graph(spark, sf_dir), "https://site.example.com/", cap=1_000_000)
 
@@ -80,17 +73,24 @@ def p10(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(T.language_path(url, ["fr", "de", "es"]).alias("url")).distinct().filter(F.col("url").rlike("/docs/[0-9]"))
 
 
-@query("f27_title", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\\s+', ' ', 'g')) AS raw FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)', 1), '&')")
-def f27(spark, sf_dir):
-    """Titles without entities, straight from the markup."""
-    raw = F.regexp_extract("html", "<title>([^<]*)", 1)
-    return table(spark, sf_dir, "pages").filter(~raw.contains("&")).select("page_id", T.clean(raw).alias("raw"))
+def _unescaped(x: str) -> str:
+    """The entities that the pages hold, as characters."""
+    for entity, c in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{c}')"
+    return x
 
 
-@query("f27_title_all", None)
-def f27_all(spark, sf_dir):
-    """Every title, entities as characters.  DuckDB doesn't know them, so there is no SQL."""
-    return table(spark, sf_dir, "pages").select("page_id", T.clean(T.strip_tags(F.regexp_extract("html", "<title>([^<]*)", 1))).alias("title"))
+@query(
+    "f27_title",
+    f"""
+    WITH t AS (SELECT page_id, trim(regexp_replace({_unescaped("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')")}, '\\s+', ' ', 'g')) AS head,
+                      {_unescaped("regexp_extract(html, '<title>([^<]*)', 1)")} AS title FROM pages)
+    SELECT page_id, CASE WHEN head <> '' THEN head ELSE trim(regexp_replace(title, '\\s*[|–—]\\s.*$', '')) END AS title FROM t
+    """,
+)
+def f27(spark, sf_dir):
+    """The first heading with text, else the title without what follows a bar or dash, of every page."""
+    return table(spark, sf_dir, "pages").select("page_id", H.page_column("html")["title"].alias("title"))
 
 
 @query("f25_f26_f27_markdown", None)
@@ -104,14 +104,9 @@ def k09(spark, sf_dir):
     return web.markdown_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), blog=True).select("page_id", "title", F.length("markdown").alias("size"))
 
 
-@query("f28_strip_tags", "SELECT page_id, sha256(regexp_replace(replace(html, '&', '+'), '<[^>]+>', ' ', 'g')) AS bare FROM pages")
+@query("f28_strip_tags", f"SELECT page_id, sha256({_unescaped("regexp_replace(html, '<[^>]+>', ' ', 'g')")}) AS bare FROM pages")
 def f28(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.strip_tags(F.replace("html", F.lit("&"), F.lit("+"))), 256).alias("bare"))
-
-
-@query("f28_strip_tags_all", None)
-def f28_all(spark, sf_dir):
-    """With its entities as characters."""
+    """Whole pages, entities as characters."""
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.strip_tags("html"), 256).alias("bare"))
 
 
@@ -161,11 +156,15 @@ def s03(spark, sf_dir):
     return docs.select("doc_id", extracted("path", "content")["title"].alias("title"))
 
 
-@query("s08_bpmn_names", "SELECT o_orderkey, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS names FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+@query("s08_bpmn_names", "SELECT o_orderkey, 'Order ' || o_orderkey AS title, 'Order ' || o_orderkey || chr(10) || string_agg(DISTINCT CAST(l_partkey AS VARCHAR), chr(10) ORDER BY CAST(l_partkey AS VARCHAR)) AS text FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def s08(spark, sf_dir):
-    tags = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.col("l_partkey").cast("string"))), lambda n: F.concat(F.lit('<task name="'), n, F.lit('"/>')))).alias("xml"))
-    names = F.array_distinct(F.regexp_extract_all("xml", F.lit('name="([^"]+)"'), F.lit(1)))
-    return tags.select("o_orderkey", F.array_join(names, ",").alias("names"))
+    """Orders as process models, whose tasks are named by their parts."""
+    from ..sources.files import extracted
+
+    tasks = F.transform(F.sort_array(F.collect_list(F.col("l_partkey").cast("string"))), lambda n: F.concat(F.lit('<task name="'), n, F.lit('"/>')))
+    models = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.concat(F.lit('<bpmn:process id="p" name="Order '), F.col("l_orderkey"), F.lit('">'), F.concat_ws("", tasks), F.lit("</bpmn:process>")).alias("xml"))
+    read = models.select("o_orderkey", extracted(F.lit("/m.bpmn"), F.encode("xml", "UTF-8")).alias("x"))
+    return read.select("o_orderkey", "x.title", F.get("x.pages", F.lit(0))["text"].alias("text"))
 
 
 @query(
@@ -202,35 +201,26 @@ def s20(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.payload_markdown(page, "url")["title"].alias("title"))
 
 
-@query("k08_assembled", "SELECT lang AS source, count(*) AS n_pages, sha256('# ' || chr(10) || string_agg('<!-- source: u' || doc_id || ' -->' || chr(10) || chr(10) || '# t' || doc_id || chr(10) || chr(10) || substr(text, 1, 40), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS text FROM documents GROUP BY lang")
+@query("k08_assembled", "SELECT lang AS source, count(*) AS n_pages, sha256('# ' || chr(10) || string_agg('<!-- source: u' || doc_id || ' -->' || chr(10) || chr(10) || '# t' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS text FROM documents GROUP BY lang")
 def k08(spark, sf_dir):
-    return joined_pages(spark, sf_dir, F.substring("text", 1, 40))
-
-
-def joined_pages(spark, sf_dir, body) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("pos"), F.concat(F.lit("u"), "doc_id").alias("url"), F.concat(F.lit("t"), "doc_id").alias("title"), body.alias("markdown"))
-    return web.assembled(pages, "lang", F.lit("# \n")).withColumn("text", F.sha2("text", 256))
-
-
-@query("k08_assembled_whole", ORACLE_SQL["k08_assembled"].replace("substr(text, 1, 40)", "text"))
-def k08_whole(spark, sf_dir):
     """With whole texts as the pages' bodies."""
-    return joined_pages(spark, sf_dir, F.col("text"))
+    pages = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("pos"), F.concat(F.lit("u"), "doc_id").alias("url"), F.concat(F.lit("t"), "doc_id").alias("title"), F.col("text").alias("markdown"))
+    return web.assembled(pages, "lang", F.lit("# \n")).withColumn("text", F.sha2("text", 256))
 
 
 @query(
     "s07_notebook_reader",
     """
     WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE trim(text) <> '')
-    SELECT conv_id, 'Conv ' || conv_id AS title, sha256(string_agg(CASE WHEN turn = 0 THEN '# Conv ' || conv_id || chr(10) || text ELSE text END, chr(10) || chr(10) ORDER BY turn)) AS text
-    FROM c GROUP BY conv_id HAVING min(turn) = 0
+    SELECT conv_id, CASE WHEN min(turn) = 0 THEN 'Conv ' || conv_id ELSE 'n' END AS title, sha256(string_agg(CASE WHEN turn = 0 THEN '# Conv ' || conv_id || chr(10) || text ELSE text END, chr(10) || chr(10) ORDER BY turn)) AS text
+    FROM c GROUP BY conv_id
     """,
 )
 def s07(spark, sf_dir):
-    """Notebooks whose cells are the turns of a conversation; the first is Markdown with a heading."""
+    """Notebooks whose cells are the turns of a conversation; turn 0 is Markdown with a heading."""
     from ..sources.files import extracted
 
-    turns = table(spark, sf_dir, "conversations").withColumn("first", F.min("turn").over(Window.partitionBy("conv_id"))).filter("first = 0")
+    turns = table(spark, sf_dir, "conversations")
     source = F.when(F.col("turn") == 0, F.concat(F.lit("# Conv "), "conv_id", F.lit("\n"), "text")).otherwise(F.col("text"))
     cell = F.struct(F.when(F.col("turn") == 0, "markdown").otherwise("code").alias("cell_type"), F.array(source).alias("source"))
     notebooks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("cell")))).alias("c"))

@@ -171,7 +171,9 @@ def a10(spark, sf_dir):
 
 @query("w01_surrogate_key", "SELECT row_number() OVER (ORDER BY s_name) AS id, s_name FROM supplier")
 def w01(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.row_number().over(Window.orderBy("s_name")).cast("long").alias("id"), "s_name")
+    from ..operators.graph import numbered
+
+    return numbered(table(spark, sf_dir, "supplier").select("s_name"), "s_name", "id").select("id", "s_name")
 
 
 @query("w02_rank", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM events")
@@ -257,8 +259,13 @@ def d06(spark, sf_dir):
 
 @query("k06_schema_check", "SELECT 64 AS dim, count(*) AS n FROM embeddings WHERE len(embedding) = 64")
 def k06(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings")
-    return df.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
+    """The one width that the vectors have, held against the embedder's."""
+    from ..functions.embedders import check_dim, get_embedder
+
+    found = table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
+    for r in found.select("dim").limit(2).collect():
+        check_dim(r["dim"], get_embedder(dim=64))
+    return found
 
 
 @query("k07_registered_functions", "SELECT s_suppkey, lower(regexp_replace(s_name, '#', '')) AS name, lower(replace(s_name, '#', ' ')) AS term FROM supplier")

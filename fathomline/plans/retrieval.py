@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import tables
+from ..scratch import root as scratch_root
+from ..scratch import written
 from .base import query, table
 from .texts import CHUNKS_SQL, chunks
 
@@ -61,7 +65,9 @@ def r02(spark, sf_dir):
 
 @query("r02_bm25_postings", f"WITH {BM25_SQL} SELECT chunk_id, doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, chunk_id LIMIT {POOL}")
 def r02_postings(spark, sf_dir):
-    return R.Bm25Index.build(chunks(spark, sf_dir)).search(QUERY, POOL).select("chunk_id", "doc_id", F.round("score", 6).alias("score"))
+    """Over a stored index."""
+    index = R.Bm25Index.build(chunks(spark, sf_dir), f"{scratch_root(spark)}/postings-{uuid.uuid4().hex}")
+    return index.search(QUERY, POOL).select("chunk_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 #: Hashed vectors of chunks and of the query, and both ranked lists.
@@ -85,16 +91,17 @@ fused AS (
 EMBEDDER = V.HashEmbedder(64)
 
 
+#: Distances of hashed vectors, of which many are equal, are held to be equal in as many digits.
+DIGITS = 9
+
+
 def embedded_chunks(spark, sf_dir) -> DataFrame:
-    """Chunks with hashed vectors.  A library holds them as a table; here they are made once for a query's several uses."""
-    return chunks(spark, sf_dir).withColumn("embedding", EMBEDDER.column("text")).persist()
+    """Chunks with hashed vectors, as a table: a library holds them so, and a query reads them several times."""
+    return written(chunks(spark, sf_dir).withColumn("embedding", EMBEDDER.column("text")), "chunks")
 
 
-def rounded_hits(df: DataFrame, pool: int) -> DataFrame:
-    """Vector hits of hashed vectors, of which many are equally far: distances are rounded before they order."""
-    near = df.select("chunk_id", "doc_id", F.round(V.cosine_distance("embedding", V.literal(EMBEDDER.embed([QUERY])[0])), 9).alias("distance"))
-    top = near.filter("distance is not null").orderBy("distance", "chunk_id").limit(pool)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy("distance", "chunk_id")))
+def hits(made: DataFrame, pool: int) -> DataFrame:
+    return R.vector_hits(made, EMBEDDER.embed([QUERY])[0], pool, DIGITS)
 
 
 def library(spark, sf_dir) -> DataFrame:
@@ -106,7 +113,7 @@ def library(spark, sf_dir) -> DataFrame:
 @query("r03_rank_fusion", f"WITH {HYBRID_SQL.format(pool=50)} SELECT chunk_id, doc_id, round(score, 6) AS score FROM fused ORDER BY fused.score DESC, v NULLS LAST, b NULLS LAST LIMIT {K}")
 def r03(spark, sf_dir):
     made = embedded_chunks(spark, sf_dir)
-    fused = R.fuse(rounded_hits(made, R.pool_size(K)), R.bm25_hits(made, QUERY, R.pool_size(K)))
+    fused = R.fuse(hits(made, R.pool_size(K)), R.bm25_hits(made, QUERY, R.pool_size(K)))
     return R.best(fused, K).select("chunk_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -122,7 +129,7 @@ def r04(spark, sf_dir):
 def r05(spark, sf_dir):
     n = R.pool_size(K, filtered=True)
     made = embedded_chunks(spark, sf_dir)
-    fused = R.fuse(rounded_hits(made, n), R.bm25_hits(made, QUERY, n))
+    fused = R.fuse(hits(made, n), R.bm25_hits(made, QUERY, n))
     return R.best(R.allowed(fused, library(spark, sf_dir), False), K).select("chunk_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -194,27 +201,24 @@ def r07(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("r08_without_graph", None)
+RESULT_SQL = f"""
+    top AS (SELECT chunk_id, score FROM fused ORDER BY fused.score DESC, v NULLS LAST, b NULLS LAST LIMIT {K})
+    SELECT c.chunk_id, c.doc_id, 'Document ' || c.doc_id AS title, source || '/' || c.doc_id AS rel_path, source AS topic, CAST(1 AS INTEGER) AS page, round(score, 6) AS score,
+           substr(trim(regexp_replace(c.text, '\\s+', ' ', 'g')), 1, 300) AS snippet, 'hybrid' AS via, lang = 'de' AS internal
+    FROM top JOIN chunks c USING (chunk_id) JOIN documents d ON d.doc_id = c.doc_id
+"""
+
+
+@query("r08_without_graph", f"WITH {HYBRID_SQL.format(pool=50)}, {RESULT_SQL}".replace(QUERY, "zzzz").replace("'the', 'ention', 'of', 'heated', 'thing'", "'zzzz'"))
 def r08(spark, sf_dir):
     """A graph that lacks tables expands nothing, and a query without known words has an empty lexical list."""
     docs = library(spark, sf_dir)
-    return R.search(embedded_chunks(spark, sf_dir), docs, "zzzz", EMBEDDER, K, graph={"doc_similar": docs})
+    return R.search(embedded_chunks(spark, sf_dir), docs, "zzzz", EMBEDDER, K, graph={"doc_similar": docs}, digits=DIGITS)
 
 
-@query(
-    "r11_search",
-    f"""
-    WITH {HYBRID_SQL.format(pool=50)}, top AS (SELECT chunk_id, score FROM fused ORDER BY fused.score DESC, v NULLS LAST, b NULLS LAST LIMIT {K})
-    SELECT c.chunk_id, c.doc_id, 'Document ' || c.doc_id AS title, source || '/' || c.doc_id AS rel_path, source AS topic, CAST(1 AS INTEGER) AS page, round(score, 6) AS score,
-           substr(trim(regexp_replace(c.text, '\\s+', ' ', 'g')), 1, 300) AS snippet, 'hybrid' AS via, lang = 'de' AS internal
-    FROM top JOIN chunks c USING (chunk_id) JOIN documents d ON d.doc_id = c.doc_id
-    """,
-)
+@query("r11_search", f"WITH {HYBRID_SQL.format(pool=50)}, {RESULT_SQL}")
 def r11(spark, sf_dir):
-    made = embedded_chunks(spark, sf_dir)
-    n = R.pool_size(K)
-    top = R.best(R.fuse(rounded_hits(made, n), R.bm25_hits(made, QUERY, n)), K)
-    return R.materialise(top.select("chunk_id", "doc_id", "score"), made, library(spark, sf_dir))
+    return R.search(embedded_chunks(spark, sf_dir), library(spark, sf_dir), QUERY, EMBEDDER, K, digits=DIGITS)
 
 
 @query("r11_search_expanded", None)
@@ -227,15 +231,15 @@ def r11_expanded(spark, sf_dir):
         "doc_authors": docs.select("doc_id", F.col("source").alias("author_id")),
         "doc_keywords": docs.select("doc_id", F.col("lang").alias("keyword_id")),
     }
-    return R.search(made, library(spark, sf_dir), QUERY, EMBEDDER, K, graph=graph)
+    return R.search(made, library(spark, sf_dir), QUERY, EMBEDDER, K, graph=graph, digits=DIGITS)
 
 
 @query(
     "e05_embedding_cache",
-    "WITH h AS (SELECT doc_id, sha256(source || ' ' || lang) AS h, doc_id % 3 = 0 AS cached FROM documents), c AS (SELECT h, bool_or(cached) AS known FROM h GROUP BY h) SELECT h.doc_id, h.h AS text_hash, CASE WHEN known THEN 1.0 ELSE 0.0 END AS from_cache FROM h JOIN c ON c.h = h.h",
+    "WITH h AS (SELECT doc_id, sha256(text) AS h, doc_id % 3 = 0 AS cached FROM documents), c AS (SELECT h, bool_or(cached) AS known FROM h GROUP BY h) SELECT h.doc_id, h.h AS text_hash, CASE WHEN known THEN 1.0 ELSE 0.0 END AS from_cache FROM h JOIN c ON c.h = h.h",
 )
 def e05(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "source", "lang").alias("text"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     known = texts.filter("doc_id % 3 = 0").select(F.lit(EMBEDDER.model).alias("model"), F.sha2("text", 256).alias("text_hash"), F.array_repeat(F.lit(1.0), EMBEDDER.dim).alias("embedding")).dropDuplicates(["text_hash"])
     found, _ = tables.embed_cached(texts, known, EMBEDDER)
     return found.select("doc_id", "text_hash", F.when(F.forall("embedding", lambda x: x == 1.0), 1.0).otherwise(0.0).alias("from_cache"))

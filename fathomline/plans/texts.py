@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking
-from .base import ORACLE_SQL, query, table
+from .base import query, table
 
 SIZE, OVERLAP = 1200, 150
 #: Chunks of documents in SQL.  The tables' texts have no blank lines, so a text is one paragraph.
@@ -45,28 +45,18 @@ def t01(spark, sf_dir):
           FROM (SELECT *, unnest(CASE WHEN length(text) > 300 THEN range(0, length(text), 250) ELSE [0] END) AS i FROM q)),
     c AS (SELECT doc_id, page, n, CASE WHEN prev IS NULL THEN piece ELSE right(prev, 50) || ' ' || piece END AS text
           FROM (SELECT *, lag(piece) OVER (PARTITION BY doc_id, page ORDER BY n) AS prev FROM s)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, n) - 1 AS ordinal,
-                 coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
-    SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(page AS INTEGER) AS page, sha256(text) AS text_hash FROM r WHERE before < 2000
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, n) - 1 AS ordinal FROM c)
+    SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(page AS INTEGER) AS page, sha256(text) AS text_hash FROM r
     """,
 )
 def t02(spark, sf_dir):
-    return page_chunks(spark, sf_dir, 2000)
-
-
-def page_chunks(spark, sf_dir, cap: int) -> DataFrame:
+    """Every chunk of every text: lines as pages, no cap."""
     docs = table(spark, sf_dir, "documents")
     pages = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("page"), x.alias("text")))
-    out = chunking.chunk_pages(docs.select("doc_id", pages.alias("pages")), size=300, overlap=50, cap=cap)
+    out = chunking.chunk_pages(docs.select("doc_id", pages.alias("pages")), size=300, overlap=50)
     return out.select("doc_id", "ordinal", "page", F.sha2("text", 256).alias("text_hash"))
 
 
-@query("t02_page_chunks_whole", ORACLE_SQL["t02_w04_page_chunks"].replace(" WHERE before < 2000", ""))
-def t02_whole(spark, sf_dir):
-    """Every chunk of every text; t02_w04_page_chunks keeps those before its cap."""
-    return page_chunks(spark, sf_dir, 0)
-
-
 @query("t03_unnest", "SELECT p_partkey AS doc_id, unnest(string_split(p_name, ' ')) AS word, CAST(generate_subscripts(string_split(p_name, ' '), 1) AS INTEGER) AS position FROM part")
 def t03(spark, sf_dir):
     from ..operators.graph import exploded
@@ -107,37 +97,20 @@ def e06(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash"))
 
 
-@query(
-    "f01_norm_name",
-    """
-    SELECT doc_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(strip_accents(substr(text, 1, 200)), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_\\s.-]', '', 'g')), '\\s+', ' ', 'g')) AS norm
-    FROM documents
-    """,
-)
-def f01(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.norm_name(F.substring("text", 1, 200)).alias("norm"))
+def _norm_sql(signs: str, by: str) -> str:
+    """DuckDB has no NFKD, but takes accents off; the tables' texts hold no other letters that NFKD would take apart."""
+    folded = "regexp_replace(strip_accents(coalesce(text, '')), '[^\\x00-\\x7F]', '', 'g')"
+    return f"SELECT doc_id, sha256(trim(regexp_replace(lower(regexp_replace({folded}, '{signs}', '{by}', 'g')), '\\s+', ' ', 'g'))) AS norm_hash FROM documents"
 
 
-@query("f01_norm_name_whole", None)
-def f01_whole(spark, sf_dir):
-    """Of whole texts; null texts are empty.  DuckDB has no NFKD, so there is no SQL."""
+@query("f01_norm_name", _norm_sql("[^A-Za-z0-9_\\s.-]", ""))
+def f01(spark, sf_dir):
+    """Of whole texts; null texts are empty."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.norm_name("text"), 256).alias("norm_hash"))
 
 
-@query(
-    "f02_norm_term",
-    """
-    SELECT doc_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(strip_accents(substr(text, 1, 200)), '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9_\\s-]', ' ', 'g')), '\\s+', ' ', 'g')) AS norm
-    FROM documents
-    """,
-)
+@query("f02_norm_term", _norm_sql("[^A-Za-z0-9_\\s-]", " "))
 def f02(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.norm_term(F.substring("text", 1, 200)).alias("norm"))
-
-
-@query("f02_norm_term_whole", None)
-def f02_whole(spark, sf_dir):
-    """Of whole texts; null texts are empty.  DuckDB has no NFKD, so there is no SQL."""
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.norm_term("text"), 256).alias("norm_hash"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.columns import col
+from ..scratch import written
 
 
 def sitemap_urls(xml: Column | str) -> Column:
@@ -80,25 +82,28 @@ def crawl(seeds: DataFrame, links: DataFrame, prefix: str, cap: int, drop: str |
 
     The budget is `cap` pages, twice that if an order of preference will choose among them; a level that passes it is cut
     in URL order.  Only pages that have been fetched, the urls of `links`, count.  `stage` cuts lineage between levels.
+
+    Links between fetched pages are made once, as a table; a level joins them to its frontier, and only new pages are written.
     """
-    cut = stage or (lambda df: df.checkpoint())
+    cut = stage or (lambda df: written(df, "crawl"))
     budget = 2 * cap if prefer else cap
     inside = lambda c: F.col(c).startswith(prefix) & (~F.col(c).rlike(drop) if drop else F.lit(True))
-    fetched = links.select(F.col("url").alias("u")).distinct()
+    fetched = links.select("url").distinct()
     edges = links.select("url", F.regexp_replace(T.page_url("link"), "/+$", "").alias("link")).filter(inside("link")).distinct()
-    level = seeds.select(T.page_url("url").alias("url")).filter(inside("url")).distinct().join(fetched, F.col("url") == F.col("u"), "left_semi")
-    seen = cut(level.orderBy("url").limit(budget).withColumn("depth", F.lit(0)))
-    depth, n = 0, seen.count()
-    while n < budget:
-        depth += 1
-        frontier = seen.filter(F.col("depth") == depth - 1).select("url")
-        level = edges.join(frontier, "url").select(F.col("link").alias("url")).distinct().join(fetched, F.col("url") == F.col("u"), "left_semi").join(seen.select("url"), "url", "left_anti")
-        level = cut(level.orderBy("url").limit(budget - n).withColumn("depth", F.lit(depth)))
-        found = level.count()
-        if not found:
+    edges = cut(edges.join(fetched.withColumnRenamed("url", "link"), "link", "left_semi").select("url", "link"))
+    frontier = cut(seeds.select(T.page_url("url").alias("url")).filter(inside("url")).distinct().join(fetched, "url", "left_semi"))
+    levels: list[DataFrame] = []
+    n = 0
+    while found := frontier.count():
+        if n + found > budget:
+            frontier = frontier.orderBy("url").limit(budget - n)
+        levels.append(frontier.select("url", F.lit(len(levels)).alias("depth")))
+        n += found
+        if n >= budget:
             break
-        seen, n = cut(seen.unionByName(level)), n + found
-    return seen
+        seen = reduce(DataFrame.unionByName, levels).select("url")
+        frontier = cut(edges.join(frontier, "url").select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti"))
+    return reduce(DataFrame.unionByName, levels) if levels else frontier.withColumn("depth", F.lit(0))
 
 
 def payload_markdown(html: Column | str, url: Column | str) -> Column:

@@ -57,7 +57,7 @@ def test_whole_texts_are_chunked(spark, tmp_path):
         cut = [line[i : i + 300] for i in range(0, len(line), 250)] if len(line) > 300 else [line] if line else []
         expected += [(page, c if not i else cut[i - 1][-50:] + " " + c) for i, c in enumerate(cut)]
     expected = [(1, n, page, hashlib.sha256(c.encode()).hexdigest()) for n, (page, c) in enumerate(expected)]
-    got = registry.QUERIES["t02_page_chunks_whole"](spark, str(tmp_path)).collect()
+    got = registry.QUERIES["t02_w04_page_chunks"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [*expected, (2, 0, 1, hashlib.sha256(b"short").hexdigest())]
 
 
@@ -78,11 +78,11 @@ def test_whole_texts_reach_the_operators(spark, tmp_path):
         s = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode("ascii")
         return re.sub(r"\s+", " ", re.sub(signs, by, s).lower()).strip()
 
-    assert dict(run("f01_norm_name_whole").collect()) == {i: sha(norm(t, r"[^\w\s.-]", "")) for i, t in texts.items()}
-    assert dict(run("f02_norm_term_whole").collect()) == {i: sha(norm(t, r"[^\w\s-]", " ")) for i, t in texts.items()}
+    assert dict(run("f01_norm_name").collect()) == {i: sha(norm(t, r"[^\w\s.-]", "")) for i, t in texts.items()}
+    assert dict(run("f02_norm_term").collect()) == {i: sha(norm(t, r"[^\w\s-]", " ")) for i, t in texts.items()}
     assert dict(run("f17_author_lines").collect())[2] == authors.replace(", ", "|")
     parts = [f"<!-- source: u{i} -->\n\n# t{i}\n\n{t}" for i, t in texts.items() if t is not None]
-    got = run("k08_assembled_whole").first()
+    got = run("k08_assembled").first()
     assert (got["n_pages"], got["text"]) == (4, sha("# \n" + "\n\n---\n\n".join(parts)))
 
 
@@ -107,11 +107,11 @@ def test_all_rows_reach_the_operators(spark, tmp_path):
         return has("the and") or "ention" in hay and has("onan")
 
     expected = {i: internal(t) for i, (_, t) in enumerate(texts)}
-    assert dict(run("f16_internal_files_all")) == expected and set(expected.values()) == {True, False}
-    title = lambda p: " ".join(html.unescape(re.search("<title>([^<]*)", p)[1]).split())
-    assert dict(run("f27_title_all")) == {i: title(p) for i, p in enumerate(pages)}
+    assert dict(run("f16_internal_files")) == expected and set(expected.values()) == {True, False}
+    title = lambda p: html.unescape(re.search("<title>([^<]*)", p)[1]).strip()
+    assert dict(run("f27_title")) == {i: title(p) for i, p in enumerate(pages)}
     bare = lambda p: hashlib.sha256(html.unescape(re.sub("<[^>]+>", " ", p)).encode()).hexdigest()
-    assert dict(run("f28_strip_tags_all")) == {i: bare(p) for i, p in enumerate(pages)}
+    assert dict(run("f28_strip_tags")) == {i: bare(p) for i, p in enumerate(pages)}
 
     expected = set()
     for volume in {o // 8 for o, _, _ in orders}:
@@ -123,7 +123,7 @@ def test_all_rows_reach_the_operators(spark, tmp_path):
         sane = [5 <= e - m[0] + 1 <= 80 for m, e in zip(marks, ends, strict=True)]
         if sum(sane) >= 0.8 * len(sane):
             expected |= {(volume, f"Paper {o}", page, e) for (page, o), e, ok in zip(marks, ends, sane, strict=True) if ok}
-    assert set(map(tuple, run("t04_paper_ranges_all"))) == expected and expected
+    assert set(map(tuple, run("t04_w03_paper_ranges"))) == expected and expected
 
 
 def test_transcript(spark):
