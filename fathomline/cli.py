@@ -1,4 +1,4 @@
-"""Commands over a library folder: index, search, enrich, graph, stats, rename plans and manifests.
+"""Commands over a library folder: index, search, graph, stats and rename plans.
 
 A library's tables are versioned folders below --index; each command reads the current version and writes a new one.
 """
