@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import SPACE, documents, id_text, repeats, stage
+from .common import documents, id_text, repeats, stage
 from .cuckoo import CuckooFilter
 
 LEAST_POINTS = 10
@@ -147,12 +147,17 @@ def probe(postings: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
     return both.mapInArrow(_probe, _POSTINGS)
 
 
+#: What _kept counts of a document: lines, lines that go, words, words that are left.
+_COUNTS = ("n_lines", "n_dropped", "n_words", "n_left")
+
+
 @kernels.releasing
 def _kept(batches):
-    """Adds the counts and the kept text.  A line goes if both halves of its key are among the document's."""
+    """Adds the counts and the kept text.  A line goes if both halves of its key are among the document's.  Words are counted
+    here, and only where lines go (else both counts are 0): a match of every word would fill the JVM's heap."""
     for batch in batches:
         texts, one_of, two_of = batch.column("text"), batch.column("one"), batch.column("two")
-        n_lines, n_dropped, kept = [], [], []
+        n_lines, n_dropped, n_words, n_left, kept = [], [], [], [], []
         for row, data, offsets in kernels.slices(texts):
             rows = len(offsets) - 1
             starts, ends, inner, outer, counts = kernels.lines(data, offsets)
@@ -171,11 +176,13 @@ def _kept(batches):
                 n_lines.append(int(b - a))
                 n_dropped.append(gone)
                 whole = raw[offsets[i] : offsets[i + 1]]
-                kept.append(b"\n".join(raw[starts[j] : ends[j]] for j in range(a, b) if not hit[j]) if gone else whole)
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in batch.schema.names if c not in ("one", "two", "text")), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-            [*(c for c in batch.schema.names if c not in ("one", "two", "text")), "text", "n_lines", "n_dropped"],
-        )
+                left = b"\n".join(raw[starts[j] : ends[j]] for j in range(a, b) if not hit[j]) if gone else whole
+                n_words.append(kernels.word_count(data[offsets[i] : offsets[i + 1]]) if gone else 0)
+                n_left.append(kernels.word_count(np.frombuffer(left, np.uint8)) if gone else 0)
+                kept.append(left)
+        rest = [c for c in batch.schema.names if c not in ("one", "two", "text")]
+        counted = [pa.array(c, pa.int64()) for c in (n_lines, n_dropped, n_words, n_left)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(kept, pa.binary()).cast(pa.string()), *counted], [*rest, "text", *_COUNTS])
 
 
 class LineIndex:
@@ -234,7 +241,8 @@ class LineIndex:
     def apply(self, docs: DataFrame) -> DataFrame:
         """doc_id, the kept text, n_lines before and n_dropped, a row for each row of docs, which the index holds."""
         df = id_text(docs).join(self.drops(), "doc_id", "left")
-        return df.mapInArrow(_kept, "doc_id long, text string, n_lines long, n_dropped long")
+        out = df.mapInArrow(_kept, "doc_id long, text string" + "".join(f", {c} long" for c in _COUNTS))
+        return out.select("doc_id", "text", "n_lines", "n_dropped")
 
     def replace_text(self, docs: DataFrame, least_words: int = 0, least_share: float = 0.0) -> DataFrame:
         """docs, all columns in their order, with the kept lines as text, and n_chars (if it is there) as its code points.
@@ -244,12 +252,13 @@ class LineIndex:
         lost = self.drops().select(F.col("doc_id").alias("_doc"), "one", "two")
         rest = [c for c in docs.columns if c != "text"]
         marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-        words = F.regexp_count("text", F.lit(f"[^{SPACE[1:]}+"))
-        marked = marked.join(lost, F.col("_id") == F.col("_doc"), "left").select("_row", "text", "one", "two", F.when(F.col("one").isNotNull(), words).alias("_words"))
-        schema = marked.select("_row", "_words", "text").schema.add("n_lines", "long").add("n_dropped", "long")
+        marked = marked.join(lost, F.col("_id") == F.col("_doc"), "left").select("_row", "text", "one", "two")
+        schema = marked.select("_row", "text").schema
+        for c in _COUNTS:
+            schema = schema.add(c, "long")
         out = marked.mapInArrow(_kept, schema)
         if least_words or least_share:
-            out = out.filter(F.when(F.col("n_dropped") > 0, words >= F.greatest(F.lit(float(least_words)), F.lit(least_share) * F.col("_words"))).otherwise(F.lit(True)))
+            out = out.filter((F.col("n_dropped") == 0) | (F.col("n_left") >= F.greatest(F.lit(float(least_words)), F.lit(least_share) * F.col("n_words"))))
         columns = {c: F.col("_row").getField(c) for c in rest} | {"text": F.col("text")}
         if "n_chars" in columns:
             columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
