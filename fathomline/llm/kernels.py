@@ -115,12 +115,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, counts
 
 
-def word_count(data: np.ndarray) -> int:
-    """How many words one text has."""
-    solid = ~SPACE[data]
-    return int(np.count_nonzero(solid[1:] & ~solid[:-1]) + np.count_nonzero(solid[:1]))
-
-
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's distinct shingles, sorted within the row, and the rows' borders in them.
 

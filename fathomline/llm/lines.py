@@ -147,14 +147,12 @@ def probe(postings: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
     return both.mapInArrow(_probe, _POSTINGS)
 
 
-#: What _kept counts of a document: lines, lines that go, words, words that are left.
-_COUNTS = ("n_lines", "n_dropped", "n_words", "n_left")
+_LINES, _WORDS = ("n_lines", "n_dropped"), ("n_words", "n_left")
 
 
-@kernels.releasing
-def _kept(batches):
-    """Adds the counts and the kept text.  A line goes if both halves of its key are among the document's.  Words are counted
-    here, and only where lines go (else both counts are 0): a match of every word would fill the JVM's heap."""
+def _rewritten(batches, words: bool):
+    """Adds the kept text, how many lines there are and how many go, and, if asked, how many words there are and are left.  A
+    line goes if both halves of its key are among the document's."""
     for batch in batches:
         texts, one_of, two_of = batch.column("text"), batch.column("one"), batch.column("two")
         n_lines, n_dropped, n_words, n_left, kept = [], [], [], [], []
@@ -176,13 +174,28 @@ def _kept(batches):
                 n_lines.append(int(b - a))
                 n_dropped.append(gone)
                 whole = raw[offsets[i] : offsets[i + 1]]
-                left = b"\n".join(raw[starts[j] : ends[j]] for j in range(a, b) if not hit[j]) if gone else whole
-                n_words.append(kernels.word_count(data[offsets[i] : offsets[i + 1]]) if gone else 0)
-                n_left.append(kernels.word_count(np.frombuffer(left, np.uint8)) if gone else 0)
-                kept.append(left)
+                kept.append(b"\n".join(raw[starts[j] : ends[j]] for j in range(a, b) if not hit[j]) if gone else whole)
+            if words:
+                begun = kernels.words(data, offsets)[0]
+                each = np.searchsorted(begun, ends) - np.searchsorted(begun, starts)
+                owner = np.repeat(np.arange(rows), counts)
+                n_words.extend(np.bincount(owner, each, rows).astype(np.int64).tolist())
+                n_left.extend(np.bincount(owner, each * ~hit, rows).astype(np.int64).tolist())
         rest = [c for c in batch.schema.names if c not in ("one", "two", "text")]
-        counted = [pa.array(c, pa.int64()) for c in (n_lines, n_dropped, n_words, n_left)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(kept, pa.binary()).cast(pa.string()), *counted], [*rest, "text", *_COUNTS])
+        counted = [pa.array(c, pa.int64()) for c in (n_lines, n_dropped, n_words, n_left)[: 4 if words else 2]]
+        names = [*rest, "text", *_LINES, *(_WORDS if words else ())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(kept, pa.binary()).cast(pa.string()), *counted], names)
+
+
+@kernels.releasing
+def _kept(batches):
+    return _rewritten(batches, False)
+
+
+@kernels.releasing
+def _kept_and_words(batches):
+    """With words counted here: matches of all of them would be an array in the JVM's heap."""
+    return _rewritten(batches, True)
 
 
 class LineIndex:
@@ -241,8 +254,7 @@ class LineIndex:
     def apply(self, docs: DataFrame) -> DataFrame:
         """doc_id, the kept text, n_lines before and n_dropped, a row for each row of docs, which the index holds."""
         df = id_text(docs).join(self.drops(), "doc_id", "left")
-        out = df.mapInArrow(_kept, "doc_id long, text string" + "".join(f", {c} long" for c in _COUNTS))
-        return out.select("doc_id", "text", "n_lines", "n_dropped")
+        return df.mapInArrow(_kept, "doc_id long, text string, n_lines long, n_dropped long")
 
     def replace_text(self, docs: DataFrame, least_words: int = 0, least_share: float = 0.0) -> DataFrame:
         """docs, all columns in their order, with the kept lines as text, and n_chars (if it is there) as its code points.
@@ -254,9 +266,9 @@ class LineIndex:
         marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
         marked = marked.join(lost, F.col("_id") == F.col("_doc"), "left").select("_row", "text", "one", "two")
         schema = marked.select("_row", "text").schema
-        for c in _COUNTS:
+        for c in _LINES + _WORDS:
             schema = schema.add(c, "long")
-        out = marked.mapInArrow(_kept, schema)
+        out = marked.mapInArrow(_kept_and_words, schema)
         if least_words or least_share:
             out = out.filter((F.col("n_dropped") == 0) | (F.col("n_left") >= F.greatest(F.lit(float(least_words)), F.lit(least_share) * F.col("n_words"))))
         columns = {c: F.col("_row").getField(c) for c in rest} | {"text": F.col("text")}
