@@ -24,9 +24,8 @@ class Library:
         self.spark, self.index = spark, index
 
     def read(self, name: str) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.index}/{name}/CURRENT")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return lists.read_versioned(self.spark, f"{self.index}/{name}") if fs.exists(path) else None
+        path = f"{self.index}/{name}"
+        return lists.read_versioned(self.spark, path) if lists.has_version(self.spark, path) else None
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         lists.write_versioned(df, f"{self.index}/{name}")
@@ -65,8 +64,8 @@ def index(lib: Library, root: str, roots: list[str], embedder, internal: str, li
         gone = old.count() - kept.count()
         all_docs = tables.upsert(kept, rows, ["doc_id", "path"])
         all_chunks = kept_chunks.join(all_docs.select("doc_id"), "doc_id", "left_semi").join(rows.select("doc_id"), "doc_id", "left_anti").unionByName(pieces)
-    lib.write("documents", tables.flag_internal(all_docs.dropDuplicates(["doc_id"]), internal))
-    lib.write("chunks", all_chunks.dropDuplicates(["chunk_id"]))
+    lib.write("documents", tables.flag_internal(tables.first(all_docs, ["doc_id"], "path"), internal))
+    lib.write("chunks", all_chunks.dropDuplicates(["chunk_id"]))  # equal files have equal chunks
     counts = [("indexed", rows.filter("n_chunks > 0").count()), ("empty", rows.filter("n_chunks is null").count()), ("pruned", gone), ("skipped", listing.count() - rows.count())]
     return lib.spark.createDataFrame(counts, "outcome string, n long")
 

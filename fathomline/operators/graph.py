@@ -88,11 +88,47 @@ def doc_keywords(enrichment: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def document_vectors(chunks: DataFrame) -> DataFrame:
-    """(doc_id, vector): the mean of a document's chunk vectors over its length.  Sums are combined before the shuffle."""
-    each = chunks.select("doc_id", F.posexplode("embedding").alias("i", "x"))
-    means = each.groupBy("doc_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    whole = means.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
-    return whole.select("doc_id", V.unit("m").alias("vector"))
+    """(doc_id, vector): the mean of a document's chunk vectors over its length; null vectors don't count.  Arrow batches are
+    summed before the shuffle, and sums that follow each other after it, so no row or task holds a document's vectors at once."""
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    ids = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    schema = pa.schema([("doc_id", ids), ("n", pa.int64()), ("total", pa.list_(pa.float64()))])
+
+    def table_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    def summed(batches):
+        for batch in batches:
+            names, vectors = batch.column("doc_id").to_pylist(), batch.column("embedding")
+            if not names:
+                continue
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            codes = {name: i for i, name in enumerate(dict.fromkeys(names))}
+            places = np.array([codes[x] for x in names])
+            total = np.zeros((len(codes), len(flat) // len(names)))
+            np.add.at(total, places, flat.reshape(len(names), -1))
+            counts = np.bincount(places, minlength=len(codes))
+            yield table_of(list(zip(codes, counts.tolist(), total.tolist(), strict=True)))
+
+    def merged(batches):
+        held = None
+        for batch in batches:
+            out = []
+            for name, n, total in zip(*(batch.column(c).to_pylist() for c in schema.names), strict=True):
+                if held and held[0] == name:
+                    held = (name, held[1] + n, held[2] + np.array(total))
+                else:
+                    out += [held] if held else []
+                    held = (name, n, np.array(total))
+            if out:
+                yield table_of(out)
+        if held:
+            yield table_of([held])
+
+    fields = f"doc_id {kind}, n bigint, total array<double>"
+    sums = chunks.filter("embedding is not null").select("doc_id", "embedding").mapInArrow(summed, fields)
+    whole = sums.repartition("doc_id").sortWithinPartitions("doc_id", "n", "total").mapInArrow(merged, fields)
+    return whole.select("doc_id", V.unit(F.transform("total", lambda x: x / F.col("n"))).alias("vector"))
 
 
 def similar(vectors: DataFrame, k: int = SIMILAR_K, least: float = LEAST_SCORE, block: int = BLOCK) -> DataFrame:

@@ -159,14 +159,21 @@ def a09(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year("o_orderdate").cast("long").alias("y")).agg(F.count("*").alias("n"))
 
 
-@query("a10_k10_manifest", "SELECT source AS part, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
+@query(
+    "a10_k10_manifest",
+    """
+    WITH f AS (SELECT source AS part, source || '/' || doc_id AS rel, strlen(text) AS n, sha256(text) AS h FROM documents),
+    s AS (SELECT part, substr(md5(rel), 1, 3) AS slice, count(*) AS n, sum(n) AS b, sha256(string_agg(h, '' ORDER BY rel)) AS h FROM f GROUP BY ALL)
+    SELECT part, CAST(sum(n) AS BIGINT) AS files, CAST(sum(b) AS BIGINT) AS bytes, sha256(string_agg(h, '' ORDER BY slice)) AS sha256 FROM s GROUP BY part
+    """,
+)
 def a10(spark, sf_dir):
     from ..sources.lists import manifest
 
     path = F.concat_ws("/", F.lit("/lib"), "source", "doc_id")
     content = F.encode("text", "UTF-8")
     files = table(spark, sf_dir, "documents").select(path.alias("path"), F.length(content).cast("long").alias("length"), content.alias("content"))
-    return manifest(files, "/lib").select("part", "files", "bytes")
+    return manifest(files, "/lib").select("part", "files", "bytes", "sha256")
 
 
 @query("w01_surrogate_key", "SELECT row_number() OVER (ORDER BY s_name) AS id, s_name FROM supplier")

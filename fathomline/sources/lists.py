@@ -32,36 +32,52 @@ def read_backlog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_versioned(df: DataFrame, path: str, format: str = "parquet") -> str:
-    """Writes a new version beside the old ones and only then points `path`/CURRENT at it, so readers never see half of
-    one.  Returns the version's folder."""
+    """Writes a new version beside the old ones and only then names it in `path`/versions, so readers never see half of
+    one, nor a moment without any: a version's number and folder are the name of an empty file, which is made in one step and
+    stays.  Returns the version's folder."""
     spark = df.sparkSession
+    number = int((_newest(spark, path) or "0-").split("-")[0]) + 1
     version = f"v-{uuid.uuid4().hex}"
     df.write.format(format).save(f"{path}/{version}")
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT.{version}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    fs.delete(target, False)
-    fs.rename(fresh, target)
+    target, fs = _folder(spark, f"{path}/versions/{number:010d}-{version}")
+    fs.create(target, False).close()
     return f"{path}/{version}"
 
 
+def _folder(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _newest(spark: SparkSession, path: str) -> str | None:
+    folder, fs = _folder(spark, f"{path}/versions")
+    return max((f.getPath().getName() for f in fs.listStatus(folder)), default=None) if fs.exists(folder) else None
+
+
+def has_version(spark: SparkSession, path: str) -> bool:
+    return _newest(spark, path) is not None
+
+
 def read_versioned(spark: SparkSession, path: str, format: str = "parquet", schema=None) -> DataFrame:
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
+    """The newest version; of two writers with one number, the same one for all readers."""
+    newest = _newest(spark, path)
+    if newest is None:
+        raise FileNotFoundError(f"no version of a table in {path}")
     reader = spark.read.format(format)
-    return (reader.schema(schema) if schema else reader).load(f"{path}/{version}")
+    return (reader.schema(schema) if schema else reader).load(f"{path}/{newest.partition('-')[2]}")
 
 
 def manifest(files: DataFrame, root: str, depth: int = 1) -> DataFrame:
-    """(part, files, bytes, size_human, sha256): totals by top folder; the digest is over the files' own, in path order.
+    """(part, files, bytes, size_human, sha256): totals by top folder, and a digest in two steps: of the files' own digests, in
+    path order, for each of 4,096 slices by the first three digits of the path's MD5, and of the slices'.
 
-    Contents are hashed where they are read; a row of 64 characters for each file is all that is shuffled."""
+    Contents are hashed where they are read; a path and 64 characters for each file are all that is shuffled, and a slice is
+    what one row collects."""
     rel = F.regexp_replace(F.substr("path", F.length(F.lit(root)) + 1, F.length("path")), "^/+", "")
     each = files.select(rel.alias("rel"), "length", F.sha2("content", 256).alias("hash")).withColumn("part", F.array_join(F.slice(F.split("rel", "/"), 1, depth), "/"))
-    total = each.groupBy("part").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rel", "hash"))), lambda x: x["hash"]), ""), 256).alias("sha256"))
+    digest = lambda order, name: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda x: x[name]), ""), 256)
+    slices = each.groupBy("part", F.substring(F.md5("rel"), 1, 3).alias("slice")).agg(F.count("*").alias("n"), F.sum("length").alias("b"), digest("rel", "hash").alias("h"))
+    total = slices.groupBy("part").agg(F.sum("n").alias("files"), F.sum("b").alias("bytes"), digest("slice", "h").alias("sha256"))
     return total.withColumn("size_human", T.byte_size("bytes"))
 
 

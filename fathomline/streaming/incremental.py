@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..operators.rules import BLOCK_ERRORS, SKIP_ERRORS
 from ..operators.tables import upsert
-from ..sources.lists import read_versioned, write_versioned
+from ..sources.lists import has_version, read_versioned, write_versioned
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -25,8 +25,7 @@ def index_files(spark: SparkSession, folder: str, table: str, checkpoint: str, e
 
     def merge(batch: DataFrame, _: int) -> None:
         rows = extract(batch)
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/CURRENT")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if has_version(spark, table):
             rows = upsert(read_versioned(spark, table, schema=rows.schema), rows, keys)
         write_versioned(rows, table)
 
