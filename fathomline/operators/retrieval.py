@@ -144,14 +144,19 @@ def expand(found: DataFrame, chunks: DataFrame, documents: DataFrame, query: lis
     return materialise(one.orderBy(F.desc("score"), "doc_id").limit(limit), chunks, documents, "graph")
 
 
+def query_vector(query: str, embedder) -> list[float]:
+    """By embed_query, if the embedder has it."""
+    embed = getattr(embedder, "embed_query", None)
+    return embed(query) if callable(embed) else embedder.embed([query])[0]
+
+
 def search(
     chunks: DataFrame, documents: DataFrame, query: str, embedder, k: int = 10, pool: int | None = None, internal: bool | None = None,
     graph: dict[str, DataFrame] | None = None, index: Bm25Index | None = None, digits: int | None = None,
 ) -> DataFrame:
     """Result rows, hybrid ones first.  Without a graph (or with one that lacks a table) nothing is expanded."""
     n = pool_size(k, pool, internal is not None)
-    embed = getattr(embedder, "embed_query", None)
-    vector = embed(query) if callable(embed) else embedder.embed([query])[0]
+    vector = query_vector(query, embedder)
     fused = fuse(vector_hits(chunks, vector, n, digits), index.search(query, n) if index else bm25_hits(chunks, query, n))
     if internal is not None:
         fused = allowed(fused, documents, internal)

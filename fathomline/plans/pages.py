@@ -201,11 +201,19 @@ def s20(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.payload_markdown(page, "url")["title"].alias("title"))
 
 
-@query("k08_assembled", "SELECT lang AS source, count(*) AS n_pages, sha256('# ' || chr(10) || string_agg('<!-- source: u' || doc_id || ' -->' || chr(10) || chr(10) || '# t' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS text FROM documents GROUP BY lang")
+@query(
+    "k08_assembled",
+    """
+    WITH d AS (SELECT lang, doc_id, text, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 100 AS INTEGER) AS part FROM documents)
+    SELECT lang AS source, part, count(*) AS n_pages, sha256(CASE part WHEN 0 THEN '# ' || chr(10) ELSE '' END || coalesce(string_agg(
+      '<!-- source: u' || doc_id || ' -->' || chr(10) || chr(10) || '# t' || doc_id || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id), '')) AS text
+    FROM d GROUP BY lang, part
+    """,
+)
 def k08(spark, sf_dir):
-    """With whole texts as the pages' bodies."""
+    """With whole texts as the pages' bodies, in parts of 100."""
     pages = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("pos"), F.concat(F.lit("u"), "doc_id").alias("url"), F.concat(F.lit("t"), "doc_id").alias("title"), F.col("text").alias("markdown"))
-    return web.assembled(pages, "lang", F.lit("# \n")).withColumn("text", F.sha2("text", 256))
+    return web.assembled(pages, "lang", F.lit("# \n"), 100).withColumn("text", F.sha2("text", 256))
 
 
 @query(

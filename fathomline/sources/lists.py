@@ -58,13 +58,17 @@ def has_version(spark: SparkSession, path: str) -> bool:
     return _newest(spark, path) is not None
 
 
-def read_versioned(spark: SparkSession, path: str, format: str = "parquet", schema=None) -> DataFrame:
-    """The newest version; of two writers with one number, the same one for all readers."""
+def newest_folder(spark: SparkSession, path: str) -> str:
     newest = _newest(spark, path)
     if newest is None:
         raise FileNotFoundError(f"no version of a table in {path}")
+    return f"{path}/{newest.partition('-')[2]}"
+
+
+def read_versioned(spark: SparkSession, path: str, format: str = "parquet", schema=None) -> DataFrame:
+    """The newest version; of two writers with one number, the same one for all readers."""
     reader = spark.read.format(format)
-    return (reader.schema(schema) if schema else reader).load(f"{path}/{newest.partition('-')[2]}")
+    return (reader.schema(schema) if schema else reader).load(newest_folder(spark, path))
 
 
 def manifest(files: DataFrame, root: str, depth: int = 1) -> DataFrame:

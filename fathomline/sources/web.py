@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.columns import col
+from ..operators.graph import numbered
 from ..scratch import written
 
 
@@ -124,9 +125,21 @@ def markdown_pages(pages: DataFrame, blog: bool = False, least: int | None = Non
     return made.filter(F.length("markdown") >= (least if least is not None else LEAST_POST if blog else LEAST_DOC))
 
 
-def assembled(pages: DataFrame, source: str, header: Column | str) -> DataFrame:
-    """(source, n_pages, text): one Markdown file for each source: a header, then its pages in order, each after a comment
-    that names where it is from.  pages: the source column, pos, url, title, markdown."""
-    part = F.concat(F.lit("<!-- source: "), F.col("url"), F.lit(" -->\n\n# "), F.col("title"), F.lit("\n\n"), F.col("markdown"))
-    joined = pages.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_pages"), F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))).alias("parts"))
-    return joined.select("source", "n_pages", F.concat(col(header) if isinstance(header, str) else header, F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n---\n\n")).alias("text"))
+#: What stands between the pages of an assembled file, and the pages of one of its parts.
+BETWEEN, PART = "\n\n---\n\n", 1000
+
+
+def assembled(pages: DataFrame, source: str, header: Column | str, part: int = PART) -> DataFrame:
+    """(source, part, n_pages, text): a Markdown file for each source, in parts of `part` pages: a header, then its pages in
+    order, each after a comment that names where it is from.  pages: the source column, pos, url, title, markdown.  A source's
+    parts with BETWEEN between them are its file; no row holds more pages than a part's.
+
+    A null source is one, too; a page that lacks a value is counted and has no place in the text."""
+    body = F.concat(F.lit("<!-- source: "), F.col("url"), F.lit(" -->\n\n# "), F.col("title"), F.lit("\n\n"), F.col("markdown"))
+    each = pages.select(F.struct(F.col(source).alias("source"), "pos", "url").alias("_key"), body.alias("body"))
+    placed = numbered(each, "_key", "_n").withColumn("source", F.col("_key.source"))
+    begins = placed.groupBy(F.col("source").alias("_s")).agg(F.min("_n").alias("_first"))
+    dealt = placed.join(begins, F.col("source").eqNullSafe(F.col("_s"))).withColumn("part", F.floor((F.col("_n") - F.col("_first")) / part).cast("int"))
+    joined = dealt.groupBy("source", "part").agg(F.count("*").alias("n_pages"), F.array_sort(F.collect_list(F.struct("_n", "body"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["body"]), BETWEEN)
+    return joined.select("source", "part", "n_pages", F.concat(F.when(F.col("part") == 0, col(header) if isinstance(header, str) else header).otherwise(""), text).alias("text"))
