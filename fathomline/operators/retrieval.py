@@ -52,16 +52,20 @@ class Bm25Index:
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str | None = None, pattern: str = TOKEN) -> Bm25Index:
-        """With a path, postings are written there in order of term and chunk, so a query reads few row groups, and a common
-        word's postings are many tasks' and files'."""
+        """With a path, the ordered postings are written there and read from there."""
         words = chunks.select("chunk_id", "doc_id", tokens("text", pattern).alias("words"))
         lengths = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
         each = words.withColumn("length", F.size("words")).withColumn("term", F.explode("words"))
-        postings = each.groupBy("term", "chunk_id", "doc_id", "length").agg(F.count("*").alias("tf"))
+        made = cls(each.groupBy("term", "chunk_id", "doc_id", "length").agg(F.count("*").alias("tf")), lengths["n"], lengths["mean"] or 0.0)
         if path:
-            postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
-            postings = chunks.sparkSession.read.parquet(path)
-        return cls(postings, lengths["n"], lengths["mean"] or 0.0)
+            made.ordered().write.mode("overwrite").parquet(path)
+            made.postings = chunks.sparkSession.read.parquet(path)
+        return made
+
+    def ordered(self) -> DataFrame:
+        """The postings in order of term and chunk: written so, a query reads few row groups, and a common word's postings are
+        many tasks' and files'."""
+        return self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
 
     def search(self, query: str, pool: int) -> DataFrame:
         """(chunk_id, doc_id, score, rank) of the best chunks that hold a word of the query."""

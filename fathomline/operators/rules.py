@@ -144,12 +144,24 @@ NO_BOOKMARK = (
 LEAST_VOLUME, LEAST_PAGES, MOST_PAGES, LEAST_PAPERS, LEAST_SANE = 100, 5, 80, 4, 0.8
 
 
-def paper_ranges(bookmarks: DataFrame) -> DataFrame:
+def first_page_title(text: Column | str) -> Column:
+    """The first line of a page that reads like a title: four words or more, no digit at its start, and no sign of front matter,
+    addresses or authors.  Null without one."""
+    lines = F.transform(F.split(text, T.LINES), T.clean)
+    like = lambda x: (F.size(F.split(x, " ")) >= 4) & ~x.rlike(r"^\p{Nd}") & ~x.rlike(NO_BOOKMARK)
+    people = lambda x: x.rlike(r"(?i)@|\.(edu|org|com|ac)\b|[A-Z]\d|\(B\)|,$")
+    return F.get(F.filter(lines, lambda x: like(x) & ~people(x)), F.lit(0))
+
+
+def paper_ranges(bookmarks: DataFrame, first_pages: DataFrame | None = None) -> DataFrame:
     """(volume, title, start, end) from bookmarks (volume, n_pages, pos, title, page, nested).
 
     Papers are entries that aren't front matter and, if any entry of the volume has a list below it, have one too.  Starts
     increase; a paper ends before the next one starts, the last with the volume.  Volumes of fewer than 100 pages, with
     fewer than four entries, or of whose ranges fewer than 80 % have 5 to 80 pages, are left whole; other ranges go.
+
+    Titles that begin with a digit are codes: with first_pages (volume, page, text), a row for each page, they give way to what
+    the paper's first page has for a title.
     """
     by_volume = Window.partitionBy("volume")
     df = bookmarks.withColumn("title", T.clean("title")).withColumn("_any", F.max("nested").over(by_volume))
@@ -160,7 +172,12 @@ def paper_ranges(bookmarks: DataFrame) -> DataFrame:
     df = df.withColumn("end", F.coalesce(F.lead("page").over(ordered) - 1, "n_pages"))
     sane = (F.col("end") - F.col("page") + 1).between(LEAST_PAGES, MOST_PAGES)
     df = df.withColumn("_sane", sane).withColumn("_share", F.avg(F.col("_sane").cast("int")).over(by_volume))
-    return df.filter((F.col("_share") >= LEAST_SANE) & F.col("_sane")).select("volume", "title", F.col("page").alias("start"), "end")
+    out = df.filter((F.col("_share") >= LEAST_SANE) & F.col("_sane")).select("volume", "title", F.col("page").alias("start"), "end")
+    if first_pages is None:
+        return out
+    told = first_pages.select("volume", F.col("page").alias("start"), first_page_title("text").alias("_told"))
+    better = F.when(F.col("title").rlike(r"^\s*\d"), F.col("_told"))
+    return out.join(told, ["volume", "start"], "left").select("volume", F.coalesce(better, "title").alias("title"), "start", "end")
 
 
 # -- backlogs ----------------------------------------------------------------------------------------------------------

@@ -22,6 +22,7 @@ def test_library(spark, tmp_path):
     counts = {r["name"]: r["n"] for r in cli.build_graph(lib).collect()}
     assert counts["topics"] == 2
     cli.find(lib, "red cats", embedder, 5, True, None).collect()
+    assert lib.read("postings").count() > 0
     total, topics = cli.stats(lib)
     assert total.first()["documents"] == 3 and topics.count() == 2
 
@@ -41,3 +42,35 @@ def test_long_texts_are_indexed_whole(spark, tmp_path):
     assert indexed("all").filter("text like '%zebra'").count() == 1
     some = indexed("some", "--max-chars", "5000")
     assert some.filter("text like '%zebra'").count() == 0 and 4 <= some.count() <= 5
+
+
+def test_enrichment_and_manifest(spark, tmp_path):
+    class Reader:
+        """Answers about cats, and fails on others."""
+
+        def complete(self, system: str, user: str) -> str:
+            if "cats" not in user:
+                raise OSError("down")
+            return 'Here: {"title": "On Cats", "authors": ["Ann Lee"], "year": 2020, "keywords": ["Cats"]}'
+
+    root = tmp_path / "lib"
+    (root / "Outbox").mkdir(parents=True)
+    for name, text in {"a.md": "red cats", "b.md": "dogs bark"}.items():
+        (root / "Outbox" / name).write_text(text)
+    lib = cli.Library(spark, f"file://{tmp_path}/index")
+    cli.index(lib, f"file:{root}", ["outbox"], HashEmbedder(8), "Internal")
+    run = lambda **options: dict(cli.enrich(lib, Reader(), **options).collect())
+    assert run() == {"enriched": 1, "failed": 1}
+    assert {r["title"] for r in lib.read("documents").collect()} == {"On Cats", "dogs bark"}
+    assert run() == {"enriched": 0, "failed": 1}
+    assert run(redo=True) == {"enriched": 1, "failed": 1}
+    assert lib.read("doc_enrichment").count() == 1
+    state = lambda **options: {r["part"]: r["state"] for r in cli.manifest(lib, f"file:{root}", **options).collect()}
+    assert state(keep=True) == {"Outbox": "new"}
+    assert state() == {"Outbox": "same"}
+    (root / "Outbox/b.md").write_text("dogs sleep")
+    assert state() == {"Outbox": "changed"}
+
+
+def test_clients_by_name():
+    assert isinstance(cli.chat_client("fathomline.functions.vectors:HashEmbedder"), HashEmbedder)

@@ -182,3 +182,20 @@ def test_pdf_pages_are_read_whole(monkeypatch):
     monkeypatch.setitem(sys.modules, "pypdf", SimpleNamespace(PdfReader=lambda data: SimpleNamespace(pages=pages, metadata=None)))
     assert len(files.read_document("a.pdf", b"")["pages"]) == 9
     assert len(files.read_document("a.pdf", b"", 100_000)["pages"]) == 2
+
+
+def test_retry_states_over_batches(spark, tmp_path):
+    attempts = [("a", 1, "IpBlocked"), ("a", 2, None), ("b", 1, "Odd"), ("b", 2, "Odd"), ("b", 3, "Odd"), ("c", 1, "VideoUnavailable")]
+    for n in (1, 2, 3):
+        rows = [(v, k, e) for v, k, e in attempts if k == n]
+        spark.createDataFrame(rows, "video_id string, n int, error string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("video_id string, n int, error string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        got = {}
+        keep = lambda batch, _: got.update({r["video_id"]: (r["status"], r["attempts"], r["error"]) for r in batch.collect()})
+        incremental.retry_states(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider)
+    assert got == {"a": ("done", 1, None), "b": ("failed", 3, "Odd"), "c": ("skipped", 1, "VideoUnavailable")}
