@@ -109,8 +109,9 @@ def manifest(lib: Library, root: str, keep: bool = False) -> DataFrame:
     return out
 
 
-def build_graph(lib: Library, k: int = graph.SIMILAR_K) -> DataFrame:
-    made = graph.build(lib.read("documents"), lib.read("chunks"), lib.read("doc_enrichment"), k)
+def build_graph(lib: Library, k: int = graph.SIMILAR_K, approximate: bool = False) -> DataFrame:
+    nearby = f"{lib.index}/vector_index" if approximate else None
+    made = graph.build(lib.read("documents"), lib.read("chunks"), lib.read("doc_enrichment"), k, nearby=nearby)
     return graph.counts({name: lib.write(name, df) for name, df in made.items()})
 
 
@@ -149,6 +150,7 @@ def parser() -> argparse.ArgumentParser:
     g = sub.add_parser("graph")
     g.add_argument("--build", action="store_true")
     g.add_argument("--similar-k", type=int, default=graph.SIMILAR_K)
+    g.add_argument("--approximate", action="store_true", help="search similar documents by an index, for large libraries")
     g.add_argument("--author")
     g.add_argument("--company", nargs="?", const="")
     e = sub.add_parser("enrich")
@@ -191,7 +193,7 @@ def main(argv: list[str] | None = None) -> None:
         none = spark.createDataFrame([], "folder string, name string")
         out = [tables.rename_plan(lib.read("documents"), a.root, none, a.all)]
     elif a.build:
-        out = [build_graph(lib, a.similar_k)]
+        out = [build_graph(lib, a.similar_k, a.approximate)]
     elif a.author:
         docs, edges, nodes = lib.read("documents"), lib.read("doc_authors"), lib.read("authors")
         out = [graph.papers_by_author(docs, edges, nodes, normal(a.author)), graph.coauthors(edges, nodes, normal(a.author))]

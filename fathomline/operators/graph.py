@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..scratch import written
+from .neighbours import similar_nearby
 
 SIMILAR_K, LEAST_SCORE = 8, 0.5
 #: Vectors of a block of the exact neighbour search.
@@ -178,14 +179,16 @@ def similar(vectors: DataFrame, k: int = SIMILAR_K, least: float = LEAST_SCORE,
     return pairs.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k).drop("n")
 
 
-def build(documents: DataFrame, chunks: DataFrame, enrichment: DataFrame | None = None, k: int = SIMILAR_K, least: float = LEAST_SCORE) -> dict[str, DataFrame]:
-    """All node and edge tables by name."""
+def build(documents: DataFrame, chunks: DataFrame, enrichment: DataFrame | None = None, k: int = SIMILAR_K, least: float = LEAST_SCORE, nearby: str | None = None) -> dict[str, DataFrame]:
+    """All node and edge tables by name.  With a path for an index in `nearby`, similar documents are searched with it: some may
+    be missed, but the work isn't quadratic."""
     out = {"authors": authors(documents), "topics": topics(documents), "companies": companies(documents)}
     out |= {"doc_authors": doc_authors(documents, out["authors"]), "doc_topics": doc_topics(documents, out["topics"]), "doc_companies": doc_companies(documents, out["companies"])}
     if enrichment is not None:
         out["keywords"] = keywords(enrichment)
         out["doc_keywords"] = doc_keywords(enrichment, out["keywords"])
-    out["doc_similar"] = similar(document_vectors(chunks), k, least)
+    vectors = document_vectors(chunks)
+    out["doc_similar"] = similar_nearby(vectors, nearby, k, least) if nearby else similar(vectors, k, least)
     return out
 
 

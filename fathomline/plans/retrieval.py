@@ -11,6 +11,7 @@ from ..functions import vectors as V
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import tables
+from ..operators.neighbours import VectorIndex
 from ..scratch import root as scratch_root
 from ..scratch import written
 from .base import query, table
@@ -43,6 +44,22 @@ def r01(spark, sf_dir):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "r01_vector_index",
+    "SELECT CAST(vec_id AS VARCHAR) AS query_id, true AS recalled FROM embeddings WHERE vec_id % 20 = 0",
+)
+def r01_index(spark, sf_dir):
+    """The neighbours of every twentieth vector by the inverted file, held against a look into all cells: whether 0.9 of
+    the true ones are among all that it gives."""
+    rows = vectors(spark, sf_dir)
+    index = VectorIndex.build(rows, f"{scratch_root(spark)}/vectors-{uuid.uuid4().hex}", k=POOL)
+    asked = rows.filter(F.col("chunk_id").cast("long") % 20 == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = written(index.search_all(asked, POOL), "found")
+    whole = VectorIndex(spark, index.path, index.centres, len(index.centres)).search_all(asked, POOL)
+    same = whole.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").count() >= 0.9 * whole.count()
+    return found.select("query_id").distinct().withColumn("recalled", F.lit(same))
+
+
 BM25_SQL = f"""
 {CHUNKS_SQL},
 tok AS (SELECT chunk_id, doc_id, regexp_extract_all(lower(text), '[a-z]+') AS words FROM chunks),
