@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import col
+from .columns import col, let
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -35,8 +35,8 @@ def literal(vector: list[float]) -> Column:
 
 def unit(a: Column | str, floor: float = 1e-8) -> Column:
     """The vector over its length, which counts as `floor` at least."""
-    size = F.greatest(norm(a), F.lit(floor))
-    return F.transform(col(a), lambda x: x / size)
+    # Computed once: within the transform alone, the length would be taken anew for each value.
+    return let(col(a), lambda v: let(F.greatest(norm(v), F.lit(floor)), lambda size: F.transform(v, lambda x: x / size)))
 
 
 def bucket(token: Column | str, dim: int) -> Column:

@@ -179,6 +179,37 @@ def similar(vectors: DataFrame, k: int = SIMILAR_K, least: float = LEAST_SCORE,
     return pairs.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k).drop("n")
 
 
+def similar_to(seeds: DataFrame, vectors: DataFrame, k: int = SIMILAR_K, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `similar` for the documents of seeds (doc_id) alone, of which there are few: their vectors go to every task and
+    meet all others there, so work and disk grow with the documents and not with their pairs."""
+    kind = vectors.schema["doc_id"].dataType
+    vectors = written(vectors, "vectors")  # read for the seeds, and as a whole
+    asked = vectors.join(F.broadcast(seeds.select("doc_id").distinct()), "doc_id").select("doc_id", "vector").collect()
+    shared = vectors.sparkSession.sparkContext.broadcast(([r["doc_id"] for r in asked], [r["vector"] for r in asked]))
+    id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind.simpleString(), pa.string())
+
+    def meet(batches):
+        own, x = shared.value[0], [np.array(v, dtype=np.float64) for v in shared.value[1]]
+        best: list[list[tuple]] = [[] for _ in own]
+        for batch in batches:
+            if not batch.num_rows or not own:
+                continue
+            names = batch.column("doc_id").to_pylist()
+            y = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(names), -1)
+            for r, name in enumerate(own):
+                scores = np.round(y @ x[r], 9)
+                bound = np.partition(scores, -(k + 1))[-(k + 1)] if len(scores) > k + 1 else -np.inf  # one may be the document itself
+                found = [(-float(scores[c]), names[c]) for c in np.flatnonzero(scores >= max(least, bound)) if names[c] != name]
+                best[r] = sorted(best[r] + found)[:k]
+        rows = [(name, other, -s) for name, found in zip(own, best, strict=True) for s, other in found]
+        kinds = {"doc_id": id_type, "other_id": id_type, "score": pa.float64()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+    near = vectors.select("doc_id", "vector").mapInArrow(meet, "doc_id {0}, other_id {0}, score double".format(kind.simpleString()))
+    nearest = Window.partitionBy("doc_id").orderBy(F.desc("score"), "other_id")
+    return near.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= k).drop("n")
+
+
 def build(documents: DataFrame, chunks: DataFrame, enrichment: DataFrame | None = None, k: int = SIMILAR_K, least: float = LEAST_SCORE, nearby: str | None = None) -> dict[str, DataFrame]:
     """All node and edge tables by name.  With a path for an index in `nearby`, similar documents are searched with it: some may
     be missed, but the work isn't quadratic."""

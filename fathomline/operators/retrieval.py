@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..scratch import written
 
 RRF = 60
 K1, B = 1.2, 0.75
@@ -86,12 +89,13 @@ def _words(query: str) -> list[str]:
 
 
 def bm25_hits(chunks: DataFrame, query: str, pool: int) -> DataFrame:
-    """BM25 without an index: chunks are tokenized, and only occurrences of the query's words leave their task."""
+    """BM25 without an index: chunks are tokenized once, and only occurrences of the query's words leave their task."""
     words = sorted(set(_words(query)))
-    told = chunks.select("chunk_id", "doc_id", tokens("text").alias("words"))
-    figures = told.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     wanted = F.filter("words", lambda x: x.isin(words)) if words else F.array().cast("array<string>")
-    hits = told.select("chunk_id", "doc_id", F.size("words").alias("length"), F.explode(wanted).alias("term"))
+    told = chunks.select("chunk_id", "doc_id", tokens("text").alias("words")).select("chunk_id", "doc_id", F.size("words").alias("length"), wanted.alias("wanted"))
+    told = written(told, "words")  # without texts; read for the figures, the words' and the chunks' counts
+    figures = told.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    hits = told.select("chunk_id", "doc_id", "length", F.explode("wanted").alias("term"))
     postings = hits.groupBy("term", "chunk_id", "doc_id", "length").agg(F.count("*").alias("tf"))
     return Bm25Index(postings, figures["n"], figures["mean"] or 0.0).search(query, pool)
 
@@ -156,9 +160,10 @@ def query_vector(query: str, embedder) -> list[float]:
 
 def search(
     chunks: DataFrame, documents: DataFrame, query: str, embedder, k: int = 10, pool: int | None = None, internal: bool | None = None,
-    graph: dict[str, DataFrame] | None = None, index: Bm25Index | None = None, digits: int | None = None,
+    graph: dict[str, DataFrame | Callable[[DataFrame], DataFrame]] | None = None, index: Bm25Index | None = None, digits: int | None = None,
 ) -> DataFrame:
-    """Result rows, hybrid ones first.  Without a graph (or with one that lacks a table) nothing is expanded."""
+    """Result rows, hybrid ones first.  Without a graph (or with one that lacks a table) nothing is expanded.  Its doc_similar may be
+    a function that finds the rows of the seeds (doc_id), where no table of all pairs is stored."""
     n = pool_size(k, pool, internal is not None)
     vector = query_vector(query, embedder)
     fused = fuse(vector_hits(chunks, vector, n, digits), index.search(query, n) if index else bm25_hits(chunks, query, n))
@@ -180,5 +185,6 @@ def search(
         return out
     limit = max(3, k // 2)
     seeds = spark.createDataFrame(seeds, f"doc_id {best_k.schema['doc_id'].dataType.simpleString()}, w double")
-    found = neighbours(seeds, graph["doc_similar"], graph["doc_authors"], graph["doc_keywords"], limit)
+    similar = graph["doc_similar"](seeds) if callable(graph["doc_similar"]) else graph["doc_similar"]
+    found = neighbours(seeds, similar, graph["doc_authors"], graph["doc_keywords"], limit)
     return out.unionByName(expand(found.filter(~F.col("doc_id").isin(list(weights))), chunks, documents, vector, limit))

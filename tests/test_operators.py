@@ -194,6 +194,34 @@ def test_similar(spark):
     assert graph.similar(graph.document_vectors(chunks.filter("doc_id = 'a'"))).count() == 0
 
 
+def test_similar_to_has_the_rows_of_similar(spark):
+    import random
+
+    r = random.Random(5)
+    vectors = [(i, [float(r.randint(-2, 2)) for _ in range(4)]) for i in range(60)]
+    vectors = graph.document_vectors(spark.createDataFrame([*vectors, (60, vectors[3][1]), (61, [0.0] * 4)], "doc_id long, embedding array<double>"))
+    seeds = spark.createDataFrame([(3,), (17,), (61,), (99,)], "doc_id long")
+    whole = graph.similar(vectors, 4, 0.3).join(seeds, "doc_id", "left_semi")
+    pairs = lambda df: sorted((x["doc_id"], x["other_id"], round(x["score"], 6)) for x in df.collect())
+    assert pairs(graph.similar_to(seeds, vectors, 4, 0.3)) == pairs(whole) and pairs(whole)
+    assert graph.similar_to(seeds.filter("doc_id = 99"), vectors).count() == 0
+    assert graph.similar_to(seeds, vectors.filter("doc_id < 0")).count() == 0
+
+
+def test_expansion_makes_no_table_of_all_pairs(spark, monkeypatch):
+    from fathomline.plans import registry, retrieval as plans
+
+    def refused(*_, **__):
+        raise AssertionError("all pairs of documents")
+
+    run = lambda: sorted(map(tuple, registry.QUERIES["r11_search_expanded"](spark, "/root/testdata/sf0.001").collect()))
+    with monkeypatch.context() as m:  # with the rows of the whole table
+        m.setattr(plans.G, "similar_to", lambda seeds, vectors, **kw: graph.similar(vectors, **kw), raising=False)
+        whole = run()
+    monkeypatch.setattr(plans.G, "similar", refused)
+    assert run() == whole and {r[8] for r in whole} == {"hybrid", "graph"}
+
+
 def test_entities(spark):
     docs = spark.createDataFrame([("1", ["J. Doe"]), ("2", ["X", "j. doe"]), ("3", ["J. Doe", "j. doe"]), ("4", None)], "doc_id string, authors array<string>")
     nodes = graph.authors(docs)
