@@ -73,6 +73,22 @@ def test_f28_agrees_with_its_sql_on_cut_entities(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(con.sql(registry.ORACLE_SQL["f28_strip_tags"]).fetchall())
 
 
+def test_f27_agrees_with_its_sql_on_cut_entities(spark, tmp_path):
+    import duckdb
+
+    from fathomline.functions import html as H
+    from fathomline.plans import registry
+
+    pages = [(1, "<title>t</title><h1>und&amp;&amp</h1><p>x</p>"), (2, "<title>a &amp;amp; b &quot</title><p>x</p>"), (3, "<h1>\U000f0000 &amp; R&D &amp</h1>")]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = registry.QUERIES["f27_title"](spark, str(tmp_path)).select("page_id", "title").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.ORACLE_SQL["f27_title"]).fetchall())
+    link = next(n for n in H.parse('<a href="/x?a=1&copy=2&amp;b=3">l</a>').walk() if n.tag == "a")
+    assert link.attributes == {"href": "/x?a=1&copy=2&b=3"}
+
+
 @pytest.mark.parametrize(("seconds", "expected"), [(65, "01:05"), (3725, "1:02:05"), (0.9, "00:00")])
 def test_clock(spark, seconds, expected):
     assert one(spark, T.clock("v"), v=seconds) == expected
