@@ -106,13 +106,15 @@ NO_PAPER = (
 
 
 def publications(pages: DataFrame, html: str = "html", base: str = "") -> DataFrame:
-    """(id, pdf, text, year, award, journal, exclude): the entries `<dt>id</dt>` of a page that link to a PDF."""
+    """(id, pdf, text, year, award, journal, exclude): the entries `<dt>id</dt>` of a page that link to a PDF.  The year is the
+    latest in the entry's text; one in its tags, such as a file's name `2031.pdf`, counts only if the text has none."""
     ids = F.regexp_extract_all(F.col(html), F.lit(r"<dt>\s*(\w+)\s*</dt>"), F.lit(1))
     bodies = F.slice(F.split(html, r"<dt>\s*\w+\s*</dt>"), F.lit(2), F.size(ids))
     each = pages.select(F.explode(F.arrays_zip(ids.alias("id"), bodies.alias("body"))).alias("e")).select("e.id", "e.body")
     pdf = F.regexp_extract("body", r"(?i)href=[\x22']([^\x22']+\.pdf)[\x22']", 1)
-    year = F.array_max(F.transform(F.regexp_extract_all("body", F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int")))
-    each = each.withColumn("pdf", pdf).filter("pdf <> ''").withColumn("text", T.clean(T.strip_tags("body"))).withColumn("year", year)
+    latest = lambda c: F.array_max(F.transform(F.regexp_extract_all(c, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int")))
+    each = each.withColumn("pdf", pdf).filter("pdf <> ''").withColumn("text", T.clean(T.strip_tags("body")))
+    each = each.withColumn("year", F.coalesce(latest(F.col("text")), latest(F.col("body"))))
     pdf = F.when(F.col("pdf").rlike("^[a-z]+:"), F.col("pdf")).otherwise(F.concat(F.lit(base), F.col("pdf")))
     journal = F.col("text").rlike(JOURNAL) & ~F.col("text").rlike("(?i)proceedings")
     return each.select("id", pdf.alias("pdf"), "text", "year", F.col("text").rlike(AWARD).alias("award"), journal.alias("journal"), F.col("text").rlike(NO_PAPER).alias("exclude"))

@@ -283,6 +283,23 @@ def test_classify_takes_the_first_rule(spark):
     assert rules.classified(df).first()["folder"] == "Process Mining/Discovery"
 
 
+def test_publication_years_are_those_of_the_text(spark, tmp_path):
+    import duckdb
+
+    from fathomline.plans import registry
+
+    html = '<dl><dt>a</dt><dd>A, 2003 <a href="2031.pdf">pdf</a></dd><dt>b</dt><dd>B <a href="2019/b.pdf">pdf</a></dd><dt>c</dt><dd>C, 1998 to 2001 <a href="c.pdf">pdf</a></dd></dl>'
+    got = rules.publications(spark.createDataFrame([(html,)], "html string")).collect()
+    assert [(r["id"], r["pdf"], r["year"]) for r in got] == [("a", "2031.pdf", 2003), ("b", "2019/b.pdf", 2019), ("c", "c.pdf", 2001)]
+
+    parts = [(k, "red part", f"Brand#{k % 3}", k % 50) for k in (*range(1890, 2110), *range(1, 40))]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = registry.QUERIES["s22_p12_publications"](spark, str(tmp_path)).select("id", "pdf", "year", "reasons").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.ORACLE_SQL["s22_p12_publications"]).fetchall())
+
+
 def marks(spark, starts):
     return spark.createDataFrame([("v", 120, i, f"Paper {i}", s, False) for i, s in enumerate(starts)], "volume string, n_pages int, pos int, title string, page int, nested boolean")
 
